@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -23,5 +24,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_token_counts(docs, tokenizer("piece_bpe_32k.model")).drop("text")
 
 
-QUERIES = {"op1_token_counts": op1_token_counts}
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.sharding import shard
+
+    rows = shard(table(spark, sf_dir, "documents", "doc_id", "text"), 8)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5)
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_sharding": op2_sharding, "op3_nearest": op3_nearest}
 ORACLE_SQL: dict[str, str] = {}
