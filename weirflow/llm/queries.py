@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirflow.llm import quality
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
@@ -37,5 +39,19 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op2_sharding": op2_sharding, "op3_nearest": op3_nearest}
-ORACLE_SQL: dict[str, str] = {}
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.quality import assess
+
+    rows = assess(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.mixing import mix
+
+    rows = mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"), F.array_join(F.col("_shards").cast("array<string>"), ",").alias("shards"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_nearest, op7_quality, op8_mixing)}
+ORACLE_SQL: dict[str, str] = {"op7_quality": quality.SQL}
