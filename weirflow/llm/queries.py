@@ -53,11 +53,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"), F.array_join(F.col("_shards").cast("array<string>"), ",").alias("shards"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.packing import pack
+
+    pieces = pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.licenses import scan
 
     return scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_nearest, op7_quality, op8_mixing, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_nearest, op7_quality, op8_mixing, op9_packing, op10_licenses)}
 ORACLE_SQL: dict[str, str] = {"op7_quality": quality.SQL}
