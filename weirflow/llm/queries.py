@@ -39,6 +39,13 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.simhash import near_duplicates
+
+    rows = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), k=4, near=4)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.quality import assess
 
@@ -66,5 +73,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_nearest, op7_quality, op8_mixing, op9_packing, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_nearest, op4_simhash, op7_quality, op8_mixing, op9_packing, op10_licenses)}
 ORACLE_SQL: dict[str, str] = {"op7_quality": quality.SQL}
