@@ -46,6 +46,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.langid import split_and_identify
+
+    rows = split_and_identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return rows.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.quality import assess
 
@@ -73,5 +80,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_nearest, op4_simhash, op7_quality, op8_mixing, op9_packing, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_nearest, op4_simhash, op5_langid, op7_quality, op8_mixing, op9_packing, op10_licenses)}
 ORACLE_SQL: dict[str, str] = {"op7_quality": quality.SQL}
