@@ -53,6 +53,12 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.lm import score
+
+    return score(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.quality import assess
 
@@ -80,5 +86,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_nearest, op4_simhash, op5_langid, op7_quality, op8_mixing, op9_packing, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_nearest, op4_simhash, op5_langid, op6_lm_scores, op7_quality, op8_mixing, op9_packing, op10_licenses)}
 ORACLE_SQL: dict[str, str] = {"op7_quality": quality.SQL}
