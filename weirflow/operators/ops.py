@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from weirflow.config import POLL_SECONDS
 from weirflow.functions.scoring import poll_priority, seconds_between
@@ -61,7 +60,7 @@ def write_archive(rows: DataFrame, path: str, rows_a_file: int = 5_000_000) -> N
     writer.option("compression", "snappy").option("maxRecordsPerFile", rows_a_file).partitionBy(*parts).parquet(path)
 
 
-def replay(envelopes: DataFrame, schemas: dict[str, StructType], topics: list[str] | None = None) -> dict[str, DataFrame]:
+def replay(envelopes: DataFrame, schemas: dict[str, str], topics: list[str] | None = None) -> dict[str, DataFrame]:
     """Payloads of unresolved envelopes, parsed again for the topic they came from; empty ones are left."""
     open_ = envelopes.where(F.length(F.coalesce("payload", F.lit(""))) > 0)
     open_ = open_.where(F.col("replayed_at").isNull()) if "replayed_at" in envelopes.columns else open_

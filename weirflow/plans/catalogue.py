@@ -12,7 +12,8 @@ from weirflow.operators import marts, ops, serving, state, topics, windows
 from weirflow.plans import frames as f
 from weirflow.schemas import REDDIT
 from weirflow.sources import raw
-from weirflow.sources.fixtures import as_of, communities, observations, sql, subreddit_config, table
+from weirflow.sources.fixtures import as_observations, as_of, communities, observations, sql, subreddit_config, table
+from weirflow.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -604,3 +605,35 @@ def quality_report(spark, d):
         "trending_bounds": (rows, ~F.col("trending_score").between(0, 1)), "velocity_floor": (rows, F.col("score_velocity") < -0.001),
         "platform_known": (rows, ~F.col("platform").isin("reddit", "hackernews", "youtube", "bluesky")), "score_not_null": (rows, F.col("raw_score").isNull()), "id_repeats": (ops.repeated(rows, "id"), F.lit(True)),
     })
+
+
+# Streams: the same results through Structured Streaming.
+
+
+def event_stream(spark, d):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    place = f"{d}/events.parque[t]"  # as a pattern: a file source takes a plain path for a folder
+    return as_observations(jobs.read_files(spark, place, table(spark, d, "events").schema))
+
+
+@query(f"SELECT topic, platform, {at('bucket')} AS bucket, signal_count, round(avg_sentiment, 4) AS avg_sentiment, total_score FROM bk", *f.BUCKETED)
+def stream_topic_buckets(spark, d):
+    rows = jobs.drain(jobs.topic_windows(event_stream(spark, d), "60 days"), ["topic", "platform", "bucket"])
+    return rows.select("topic", "platform", f.text("bucket").alias("bucket"), "signal_count", F.round(F.col("sentiment_sum") / F.nullif(F.col("sentiment_n"), F.lit(0)), 4).alias("avg_sentiment"), "total_score")
+
+
+@query("SELECT seq, id, round(score_velocity, 6) AS score_velocity, round(comment_velocity, 6) AS comment_velocity FROM vel", f.VEL)
+def stream_velocity(spark, d):
+    rows = jobs.drain(jobs.velocities(event_stream(spark, d), "60 days"), ["seq"], "append")
+    return rows.withColumns({c: F.round(c, 6) for c in ("score_velocity", "comment_velocity")})
+
+
+@query("SELECT DISTINCT id FROM obs")
+def stream_dedup(spark, d):
+    return jobs.drain(jobs.without_repeats(event_stream(spark, d), ["id"], "60 days"), ["id"], "append").select("id")
+
+
+@query(f"SELECT {at('hour')} AS hour, id, round(avg(raw_score), 4) AS avg_score, max(raw_score) AS max_score, count(*) AS snapshots FROM (SELECT *, date_trunc('hour', captured_at) AS hour FROM obs) GROUP BY hour, id")
+def stream_hourly(spark, d):
+    rows = jobs.drain(jobs.hourly(event_stream(spark, d), "id", "60 days"), ["id", "hour"])
+    return rows.select(f.text("hour").alias("hour"), "id", F.round("avg_score", 4).alias("avg_score"), "max_score", "snapshots")

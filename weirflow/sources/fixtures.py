@@ -17,7 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as the log of signal observations; all times are UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    e = table(spark, sf_dir, "events")
+    return as_observations(table(spark, sf_dir, "events"))
+
+
+def as_observations(e: DataFrame) -> DataFrame:
+    """The mapping itself, for a table or a stream of events."""
     platform = F.lit("other")
     for kind, name in PLATFORMS.items():
         platform = F.when(F.col("event_type") == kind, name).otherwise(platform)

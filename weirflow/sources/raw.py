@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from weirflow.config import BLUESKY_TERMS
 from weirflow.schemas import RAW
@@ -14,8 +13,7 @@ TITLE, BODY = 512, 2048
 
 def parse(lines: DataFrame, platform: str, value: str = "value") -> DataFrame:
     """JSON text to the platform's record ``raw``; malformed text is kept in its field ``_malformed``."""
-    schema = StructType([*RAW[platform].fields, StructField("_malformed", StringType())])
-    return lines.withColumn("raw", F.from_json(value, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"}))
+    return lines.withColumn("raw", F.from_json(value, RAW[platform] + ", _malformed string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"}))
 
 
 def epoch_of_iso(text: Column) -> Column:
