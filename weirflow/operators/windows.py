@@ -37,6 +37,7 @@ def with_normalised(obs: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
 def with_normalised_blocked(obs: DataFrame, t: Thresholds = DEFAULTS, *, block: int = 8192, slice_seconds: int = 3600) -> DataFrame:
     """The same in blocks, for platforms of any size. Positive rows get their ordinal from counts of time slices; each block
     of ordinals also gets the rows that its first windows reach back to, so that a (platform, block) is a task's own work."""
+    block = max(block, t.window_rows)
     rows = obs.withColumn("_slice", F.floor(F.unix_seconds("captured_at") / slice_seconds))
     positive = rows.where("raw_score > 0")
     slices = positive.groupBy("platform", "_slice").agg(F.count("*").alias("_n"))
