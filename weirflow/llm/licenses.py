@@ -86,3 +86,22 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> Data
     joined = all_rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     listed = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
     return joined.select("doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", listed("base_labels").alias("base_labels"), listed("labels").alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def sql() -> str:
+    """DuckDB twin of op10, with the words of the k-grams in place of their hashes."""
+    rows = ", ".join(f"({i}, '{phrase}', '{label}', {i < len(BASE)})" for i, (phrase, label) in enumerate(BASE + NOTICES))
+    return rf"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT template, string_split(phrase, ' ') AS w, label, base FROM (VALUES {rows}) v(template, phrase, label, base)),
+tg AS (SELECT template, label, base, len(w) - 1 AS grams, i - 1 AS tpos, w[i] || ' ' || w[i + 1] AS g FROM (SELECT *, unnest(range(1, len(w))) AS i FROM t)),
+dg AS (SELECT doc_id, i - 1 AS place, w[i] || ' ' || w[i + 1] AS g FROM (SELECT *, unnest(range(1, len(w))) AS i FROM d)),
+diagonals AS (SELECT doc_id, template, label, base, grams, place - tpos AS diagonal, list(DISTINCT tpos) AS ats FROM dg JOIN tg USING (g) GROUP BY ALL),
+apart AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {NEAR} THEN 0 ELSE 1 END AS new FROM diagonals),
+merged AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM apart),
+spans AS (SELECT doc_id, label, base, len(list_distinct(flatten(list(ats)))) / grams AS share, count(*) FILTER (WHERE base AND len(ats) = grams) AS places,
+  min(diagonal) FILTER (WHERE base AND len(ats) = grams) AS a, max(diagonal) FILTER (WHERE base AND len(ats) = grams) AS b FROM merged GROUP BY doc_id, template, label, base, grams, span),
+found AS (SELECT doc_id, sum(places)::BIGINT AS n_base, min(a)::BIGINT AS first_word, max(b)::BIGINT AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE places > 0) AS base_labels,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE places > 0 OR (NOT base AND share >= {VERIFIED})) AS labels, max(share) AS score FROM spans GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN found USING (doc_id)
+"""
