@@ -36,9 +36,10 @@ def whole(rows, ids):
 def test_words_encode_like_the_library():
     rng = random.Random(5)
     alphabet = ["a", "b", " ", " ", "\n", "\t", "é", "'s", "<|endoftext|>", "The", " x", "1", "!", "\xa0", "漢"]
-    texts = ["", " ", "\n", " a", "a "] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
-    table = WordIds(PATH)
-    assert list(table.of(texts)) == [table.library(t) for t in texts]
+    alphabet += [chr(c) for c in range(33, 0x24F)]
+    texts = ["", " ", "\n", " a", "a "] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25))) for _ in range(6000)]
+    for table in (WordIds(PATH), WordIds(PATH, public_tokenizers.path("byte_bpe_50k.tiktoken"))):
+        assert [table.of(t) for t in texts] == [table.library(t) for t in texts]
 
 
 def test_whole_table(spark, sf_small):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import quality
+from weirflow.llm import licenses, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.lm import score
 
-    return score(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"))
+    return score(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.packing import pack
 
-    pieces = pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"))
+    pieces = pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
@@ -87,4 +87,4 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_nearest, op4_simhash, op5_langid, op6_lm_scores, op7_quality, op8_mixing, op9_packing, op10_licenses)}
-ORACLE_SQL: dict[str, str] = {"op7_quality": quality.SQL}
+ORACLE_SQL: dict[str, str] = {"op7_quality": quality.SQL, "op10_licenses": licenses.sql()}
