@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from weirflow.llm.common import reliable
 
-PIVOTS, HOT, PAIRWISE = 16, 4096, 8
+PIVOTS, HOT, PAIRWISE, SALT = 16, 4096, 8, 4
 #: Hot keys up to which their table is broadcast (16 MB).
 BROADCAST_KEYS = 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -193,7 +193,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # the neighbours of a hub are dealt to SALT tasks, each with a copy of the hub's least
+        dealt = both.where("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)))
+        copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+        large = dealt.join(copies, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = reliable(small)
@@ -214,6 +217,11 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, near: int = 4, id_col: str =
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each component, with its own columns: the one whose id names it."""
-    kept = near_duplicates(docs, id_col=id_col, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col])
+    """One document of each component, with its own columns: the one whose id names it. Texts are shuffled once, to meet the
+    ids kept; only ids that occur more than once, where there are any, are then reduced to one row."""
+    named = near_duplicates(docs, id_col=id_col, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = reliable(named.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")))
+    found = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")))
+    if kept.where("_rows > 1").isEmpty():
+        return found.select(*docs.columns)
+    return found.where("_rows = 1").select(*docs.columns).unionByName(found.where("_rows > 1").select(*docs.columns).dropDuplicates([id_col]))
