@@ -6,8 +6,8 @@ host whose shrunk rate is over ``max_rate`` is rejected with all its documents;
 
 DataFrame functions only. The measures are expressions inside a row, so repeated windows are found without exploding the
 text; per-host sums are built on the map side, so a hot host costs one row a task; the measures are checkpointed narrow
-(no text) and read twice. The host table joins by Spark's own choice: broadcast below its size limit, else a sort-merge join
-that splits hot keys.
+(no text) and read twice. The host table is counted and broadcast below a limit; beyond, Spark joins it by shuffle and splits
+hot hosts.
 
 Defined results: a null or empty text has no words and fails; a null host is a host of its own; repeated rows count each;
 an empty table gives an empty result; extra columns are not looked at; ties cannot arise.
@@ -22,6 +22,8 @@ from weirflow.llm.common import SPACE, bind, reliable, text_of, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: Hosts up to which a table of them is broadcast (some 50 MB); beyond, it joins by shuffle and hot hosts are split.
+BROADCAST_HOSTS = 500_000
 
 
 def repeated_words(w: Column) -> Column:
@@ -70,13 +72,18 @@ def host_verdicts(rows: DataFrame, max_rate: float = 0.5) -> DataFrame:
     return hosts.withColumn("rate", rate).withColumn("host_kept", F.col("rate") <= max_rate)
 
 
+def sized(hosts: DataFrame) -> DataFrame:
+    """The table, marked for broadcast if it is counted small."""
+    return F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
+
+
 def assess(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = 0.5) -> DataFrame:
     """doc_id, host, the measures, base_failed, the host's shrunk failure rate, and kept."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host).alias("host"), *[c.alias(k) for k, c in measures(F.col(text)).items()])
     rows = rows.select("doc_id", "host", F.col("counts.n_words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("counts.n_repeat_words").cast("long").alias("n_repeat_words"))
     rows = reliable(rows.withColumn("base_failed", failed(F.col("n_words"), F.col("n_repeat_words"))))
     verdicts = host_verdicts(rows, max_rate).select(F.col("host").alias("of"), F.col("rate").alias("host_rate"), "host_kept")
-    joined = rows.join(verdicts, F.col("host").eqNullSafe(F.col("of")), "left").drop("of")
+    joined = rows.join(sized(verdicts), F.col("host").eqNullSafe(F.col("of")), "left").drop("of")
     return joined.withColumn("kept", ~F.col("base_failed") & F.col("host_kept")).drop("host_kept")
 
 
@@ -87,7 +94,7 @@ def keep_good(docs: DataFrame, *, text: str = "text", host: str = "source", max_
     bad = F.col("_counts")
     flagged = docs.withColumn("_counts", counts).withColumn("_failed", failed(bad["n_words"], bad["n_repeat_words"]))
     rejected = host_verdicts(flagged.select(F.col(host).alias("host"), F.col("_failed").alias("base_failed")), max_rate).where(~F.col("host_kept")).select(F.col("host").alias("_host"))
-    return flagged.where(~F.col("_failed")).join(rejected, F.col(host).eqNullSafe(F.col("_host")), "left_anti").select(*docs.columns)
+    return flagged.where(~F.col("_failed")).join(sized(rejected), F.col(host).eqNullSafe(F.col("_host")), "left_anti").select(*docs.columns)
 
 
 #: DuckDB twin of op7.
