@@ -67,9 +67,9 @@ BOOSTERS = {"very": 0.293, "really": 0.293, "extremely": 0.293, "slightly": -0.2
 NEGATIONS = frozenset({"not", "no", "never", "isn't", "don't", "won't", "can't", "without"})
 
 
-def compound(text: str | None, lexicon: dict[str, float], cap: int = 1000) -> float:
-    """Summed valences, raised by boosters and turned by negations up to three words before, as s / sqrt(s^2 + 15)."""
-    words, total = [w.strip(".,;:!?\"()") for w in (text or "")[:cap].lower().split()], 0.0
+def compound(text: str | None, lexicon: dict[str, float]) -> float:
+    """Summed valences, raised by boosters and turned by negations up to three words before, as s / sqrt(s^2 + 15); of the whole text."""
+    words, total = [w.strip(".,;:!?\"()") for w in (text or "").lower().split()], 0.0
     for i, w in enumerate(words):
         v = lexicon.get(w, 0.0)
         if v:
