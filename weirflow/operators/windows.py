@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,9 +44,9 @@ def with_normalised_blocked(obs: DataFrame, t: Thresholds = DEFAULTS, *, block:
     positive = rows.where("raw_score > 0")
     slices = positive.groupBy("platform", "_slice").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("platform").orderBy("_slice")) - F.col("_n")
-    slices = slices.select("platform", "_slice", before.alias("_before"))
+    slices = slices.select(F.col("platform").alias("_p"), F.col("_slice").alias("_s"), before.alias("_before"))
     inside = F.row_number().over(Window.partitionBy("platform", "_slice").orderBy("captured_at", "seq"))
-    numbered = positive.withColumn("_in", inside).join(slices, ["platform", "_slice"]).withColumn("_at", F.col("_before") + F.col("_in") - 1)
+    numbered = positive.withColumn("_in", inside).join(slices, F.col("platform").eqNullSafe(F.col("_p")) & F.col("_slice").eqNullSafe(F.col("_s"))).withColumn("_at", F.col("_before") + F.col("_in") - 1)
     own = F.floor(F.col("_at") / block)
     blocks = F.when(F.col("_at") % block >= block - t.window_rows, F.array(own, own + 1)).otherwise(F.array(own))
     copied = numbered.withColumn("_own", own).withColumn("_block", F.explode(blocks))
@@ -75,26 +77,31 @@ def score_delta(obs: DataFrame) -> DataFrame:
 
 def token_bucket(rows: DataFrame, rates: dict[str, float], *, burst_seconds: float = 3.0, streams: int = 1) -> DataFrame:
     """Rows that a bucket of each platform lets through, by event time: refilled at the platform's rate, holding
-    ``burst_seconds`` of it; no rate or a negative one lets all through. A busy platform is split into ``streams``, each with
-    its share of the rate."""
-    schema = rows.schema
-
-    def admitted(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["captured_at", "seq"])
-        rate = rates.get(part["platform"].iloc[0], -1.0) / streams
-        if rate < 0:
-            return part.drop(columns="_stream")
-        size = max(1.0, rate * burst_seconds)
-        tokens, last, kept = size, None, []
-        for at in part["captured_at"].astype("int64") / 1e9:
-            tokens = min(size, tokens + rate * ((at - last) if last is not None else 0.0))
-            last = at
-            kept.append(tokens >= 1)
-            tokens -= kept[-1]
-        return part[kept].drop(columns="_stream")
-
-    split = rows.withColumn("_stream", F.pmod(F.xxhash64("id"), F.lit(streams)))
-    return split.groupBy("platform", "_stream").applyInPandas(admitted, schema)
+    ``burst_seconds`` of it; no rate or a negative one lets all through, without a shuffle. A busy platform is split into
+    ``streams``, each with its share of the rate. A stream is read in sorted batches, with only its tokens and last time held."""
+    is_metered = F.coalesce(F.col("platform").isin([p for p, rate in rates.items() if rate >= 0]), F.lit(False))
+
+    columns = rows.columns
+
+    def admitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, tokens, last = None, 0.0, 0.0
+        for part in batches:
+            kept = []
+            names = zip(part["platform"], part["_stream"], strict=True)
+            for name, at in zip(names, part["captured_at"].astype("datetime64[ns]").astype("int64") / 1e9, strict=True):
+                rate = rates[name[0]] / streams
+                size = max(1.0, rate * burst_seconds)
+                if name != stream:
+                    stream, tokens, last = name, size, at
+                tokens = min(size, tokens + rate * (at - last))
+                last = at
+                kept.append(tokens >= 1)
+                tokens -= kept[-1]
+            yield part.loc[kept, columns]
+
+    split = rows.where(is_metered).withColumn("_stream", F.pmod(F.xxhash64("id"), F.lit(streams)))
+    in_order = split.repartition("platform", "_stream").sortWithinPartitions("platform", "_stream", F.asc_nulls_last("captured_at"), "seq")
+    return in_order.mapInPandas(admitted, rows.schema).unionByName(rows.where(~is_metered))
 
 
 def keyset_page(rows: DataFrame, before: Column, size: int = 50) -> DataFrame:

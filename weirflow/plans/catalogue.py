@@ -119,7 +119,7 @@ def velocity(spark, d):
 
 @query("SELECT seq, platform, normalised_score FROM norm", f.VEL, f.NORM)
 def normalised_score(spark, d):
-    return windows.with_normalised(observations(spark, d)).select("seq", "platform", "normalised_score")
+    return windows.with_normalised_blocked(observations(spark, d)).select("seq", "platform", "normalised_score")
 
 
 @query("SELECT seq, platform, normalised_score FROM norm", f.VEL, f.NORM)

@@ -1,9 +1,10 @@
-"""The same operators on streams: sources, windowed buckets, keyed velocity, de-duplication, throttling, two sinks a batch."""
+"""The same operators on streams: sources, windowed buckets, keyed velocity, rolling baselines, de-duplication, two sinks a batch."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from weirflow.config import DEFAULTS
+from weirflow.config import DEFAULTS, Thresholds
+from weirflow.functions.scoring import fallback_baseline, normalised_score
 from weirflow.operators.topics import exploded
 
 
@@ -78,6 +80,28 @@ def velocities(rows: DataFrame, late: str = "25 hours", ttl: int = DEFAULTS.ttl_
     return source.groupBy("id").applyInPandasWithState(step, "seq long, id string, score_velocity double, comment_velocity double", "at double, score long, comments long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def normalised(rows: DataFrame, late: str = "25 hours", t: Thresholds = DEFAULTS) -> DataFrame:
+    """normalised_score per platform with its last ``window_rows`` positive scores as state, in the order in which batches
+    come and by (time, seq) inside a batch."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = deque(state.get[0] if state.exists else [], maxlen=t.window_rows)
+        part = pd.concat(list(parts)).sort_values(["captured_at", "seq"])
+        out, total = [], sum(last)
+        for seq, score in zip(part["seq"], part["raw_score"], strict=True):
+            out.append(total / len(last) if len(last) >= t.least_samples else None)
+            if score > 0:
+                total += int(score) - (last[0] if len(last) == t.window_rows else 0)
+                last.append(int(score))
+        state.update((list(last),))
+        yield pd.DataFrame({"seq": part["seq"], "platform": key[0], "raw_score": part["raw_score"].astype("Int64"), "baseline": pd.Series(out, index=part.index, dtype="float64")})
+
+    source = rows.select("seq", "platform", "captured_at", "raw_score").withWatermark("captured_at", late)
+    told = source.groupBy("platform").applyInPandasWithState(step, "seq long, platform string, raw_score long, baseline double", "scores array<long>", "append", GroupStateTimeout.NoTimeout)
+    score = normalised_score(F.col("raw_score"), F.coalesce("baseline", fallback_baseline(F.col("platform"), t)))
+    return told.select("seq", "platform", F.coalesce(score, F.lit(0.0)).alias("normalised_score"))
+
+
 def two_sinks(batch: Callable[[DataFrame, int], None], push: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """One micro-batch, computed once, to the store and to the live channel; both see the batch's number, so a rerun of
     the batch replaces what it wrote."""
