@@ -1,9 +1,11 @@
 import random
 from itertools import combinations
 
+import pytest
+
 import corpus_pipeline
 from weirflow.llm.similar import keep_similar_one
-from weirflow.llm.simhash import shingle_hashes
+from weirflow.llm.simhash import keep_one, shingle_hashes
 
 SCHEMA = "doc_id long, text string"
 
@@ -49,10 +51,11 @@ def test_stage_equals_exact_jaccard_on_both_sides_of_the_threshold(spark):
     assert got == least_of_groups(texts) and 60 < len(got) < len(texts)
 
 
-def test_null_and_repeated_ids_lose_no_text(spark):
+@pytest.mark.parametrize("keep", [keep_similar_one, keep_one])
+def test_null_and_repeated_ids_lose_no_text(spark, keep):
     a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
-    rows = [(None, a), (None, b), (7, c), (None, c), (8, a + " end"), (9, "x y"), (9, "p q"), (9, "x y"), (None, None), (5, "")]
+    rows = [(None, a), (None, b), (7, c), (None, c), (8, a), (9, "x y"), (9, "p q"), (9, "x y"), (None, None), (5, "")]
     docs = spark.createDataFrame(rows, SCHEMA)
-    got = sorted((r.doc_id or 0, r.text) for r in keep_similar_one(docs).collect())
-    assert got == sorted([(8, a + " end"), (0, b), (7, c), (9, "x y"), (9, "p q"), (5, "")])
-    assert keep_similar_one(docs.where("false")).collect() == []
+    got = sorted((r.doc_id or 0, r.text) for r in keep(docs).collect())
+    assert got == sorted([(8, a), (0, b), (7, c), (9, "x y"), (9, "p q"), (5, "")])
+    assert keep(docs.where("false")).collect() == []

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import reliable
+from weirflow.llm.common import reliable, text_of
 
 PIVOTS, HOT, PAIRWISE, SALT = 16, 4096, 8, 4
 #: Hot keys up to which their table is broadcast (16 MB).
@@ -216,12 +216,25 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, near: int = 4, id_col: str =
     return rows.join(named.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each component, with its own columns: the one whose id names it. Texts are shuffled once, to meet the
-    ids kept; only ids that occur more than once, where there are any, are then reduced to one row."""
-    named = near_duplicates(docs, id_col=id_col, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = reliable(named.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")))
-    found = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")))
-    if kept.where("_rows > 1").isEmpty():
+def digest(text: str) -> Column:
+    return F.xxhash64(text_of(text))
+
+
+def keep_rows(docs: DataFrame, named: DataFrame, id_col: str, text: str) -> DataFrame:
+    """One row of ``docs`` for each root of ``named`` (_id, _digest, root): the least id, nulls last, then the least hash of the
+    text. Texts are shuffled once, to meet the rows kept; only where id and text occur more than once are they then reduced."""
+    least = named.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_digest")).alias("m"))
+    kept = reliable(least.select(F.col("m._id").alias("_kid"), F.col("m._digest").alias("_kd")))
+    same = lambda i, d: F.col(i).eqNullSafe(F.col("_kid")) & (F.col(d) == F.col("_kd"))
+    found = docs.withColumn("_own", digest(text)).join(kept, same(id_col, "_own"))
+    if named.join(kept, same("_id", "_digest")).groupBy("_id", "_digest").count().where("count > 1").isEmpty():
         return found.select(*docs.columns)
-    return found.where("_rows = 1").select(*docs.columns).unionByName(found.where("_rows > 1").select(*docs.columns).dropDuplicates([id_col]))
+    return found.dropDuplicates([id_col, "_own"]).select(*docs.columns)
+
+
+def keep_one(docs: DataFrame, *, k: int = 4, near: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component, with its own columns: that of the least id, nulls last, then of the least text hash."""
+    rows = reliable(docs.select(F.col(id_col).alias("_id"), digest(text).alias("_digest"), fingerprint(F.col(text), k).alias("fp")))
+    roots = components(near_links(reliable(rows.select("fp").distinct()), near))
+    named = rows.join(roots, rows["fp"] == roots["node"], "left").select("_id", "_digest", F.coalesce("root", "fp").alias("root"))
+    return keep_rows(docs, reliable(named), id_col, text)
