@@ -28,6 +28,10 @@ from weirflow.llm.common import reliable, text_of, words
 WEIGHTS = (5, 2, 1)
 #: Hash pieces of a source (a power of two), word blocks of the whole mix, and the most sources whose table is broadcast.
 PIECE_BITS, BLOCKS, BROADCAST_SOURCES = 10, 32_768, 10_000
+#: Documents in a run of a shard that is sorted by position.
+PART_ROWS = 2048
+#: What all randomness is hashed from unless told otherwise.
+SEED = 11
 
 
 def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[float]:
@@ -109,7 +113,7 @@ def fillers(rows: DataFrame, gaps: list[tuple[str, int, float]]) -> dict[str, in
     return {r["_source"]: r["b"]["_key"] for r in best.collect()}
 
 
-def mix(docs: DataFrame, shards: int = 8, *, most: float = 3.0, seed: int = 11, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, shards: int = 8, *, most: float = 3.0, seed: int = SEED, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs with _size, _source_size, _target, _copies (times taken) and _shards (of each copy; an array)."""
     wide = keyed(docs, id_col, text, source, seed)
     rows = reliable(wide.select("_source", "_piece", "_key", "_size"))
@@ -136,8 +140,23 @@ def mix(docs: DataFrame, shards: int = 8, *, most: float = 3.0, seed: int = 11,
     return taken.withColumn("_shards", numbers).select(*docs.columns, "_size", "_source_size", "_target", "_copies", "_shards")
 
 
-def mixed_rows(docs: DataFrame, shards: int = 8, *, seed: int = 11, id_col: str = "doc_id", **options) -> DataFrame:
+def position(seed: int, key: Column, copy: Column) -> Column:
+    """Where a copy stands in its shard: the sort key of the local shuffle."""
+    return F.xxhash64(F.lit(seed + 1), key, copy)
+
+
+def mixed_rows(docs: DataFrame, shards: int = 8, *, seed: int = SEED, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: docs' columns once for every copy taken, with shard and position (the local shuffle's sort key)."""
     drawn = mix(docs, shards, seed=seed, id_col=id_col, **options)
     copies = drawn.select(*docs.columns, F.posexplode("_shards").alias("_copy", "shard"))
-    return copies.withColumn("position", F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col("_copy"))).drop("_copy")
+    return copies.withColumn("position", position(seed, F.col(id_col), F.col("_copy"))).drop("_copy")
+
+
+def shuffled_rows(docs: DataFrame, shards: int = 8, *, part_rows: int = PART_ROWS, **options) -> DataFrame:
+    """The mix with every shard in the order of its positions. A shard is cut by position into runs of about ``part_rows``
+    documents, so no task holds a large shard; a run lies in one partition, sorted."""
+    runs = max(1, -(-docs.count() // (shards * part_rows)))
+    # the highest 31 bits of the position, from 0 up, give its run
+    run = F.floor((F.shiftright("position", 33) + F.lit(1 << 30)) * runs / F.lit(float(1 << 31))).cast("int")
+    dealt = mixed_rows(docs, shards, **options).withColumn("_run", run).repartition(shards * runs, "shard", "_run")
+    return dealt.sortWithinPartitions("shard", "position").drop("_run")
