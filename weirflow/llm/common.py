@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +18,10 @@ def reliable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the folder all executors share, so a lost executor costs nothing but a reread."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 
@@ -37,3 +43,27 @@ def words(text: Column) -> Column:
 def bind(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, however often the body's lambdas use it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows whose ``column`` (texts) holds about ``most`` bytes, a longer text alone: what a worker holds
+    at once does not grow with Spark's batches."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("int64")
+        run = (sizes.cumsum() - sizes) // most
+        bounds = [0, *(i + 1 for i in range(len(run) - 1) if run[i + 1] != run[i]), len(run)]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
+_held: dict = {}
+
+
+def held(name: str, key, make: Callable):
+    """A worker's table ``name`` for ``key``. Workers outlive a stage, so the table of another operator, or of another key,
+    goes before a new one is made."""
+    if _held.get("of") != (name, key):
+        _held.clear()
+        _held.update({"of": (name, key), "table": make()})
+    return _held["table"]

@@ -56,7 +56,7 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.lm import score
 
-    return score(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"))
+    return score(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
