@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weirflow.llm.packing import WordIds, pack
+from weirflow.llm.packing import TextIds, pack
 from weirflow.llm.queries import op9_packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -38,7 +38,8 @@ def test_words_encode_like_the_library():
     alphabet = ["a", "b", " ", " ", "\n", "\t", "é", "'s", "<|endoftext|>", "The", " x", "1", "!", "\xa0", "漢"]
     alphabet += [chr(c) for c in range(33, 0x24F)]
     texts = ["", " ", "\n", " a", "a "] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25))) for _ in range(6000)]
-    for table in (WordIds(PATH), WordIds(PATH, public_tokenizers.path("byte_bpe_50k.tiktoken"))):
+    texts += ["one two\nthree x" + "ab" * 300 + " four", "plain words\nand 漢字 here\nand more", "a\nb 漢"]
+    for table in (TextIds(PATH), TextIds(PATH, public_tokenizers.path("byte_bpe_50k.tiktoken"))):
         assert [table.of(t) for t in texts] == [table.library(t) for t in texts]
 
 

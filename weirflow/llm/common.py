@@ -40,6 +40,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as it takes to be no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bind(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, however often the body's lambdas use it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -1,20 +1,23 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
 Each source gets a target number of words by weight, at most ``most`` times its size; the excess is shared anew by weight.
-A source's documents stand in the order of a hash of their id, cut into blocks of equal words; the mix draws whole passes
-over them and then the first blocks of one more, the last block cut before the target is passed; the one later document that
-best fills what is then missing joins in. The source's block quotas are
-split over the output shards by a tree: each node hands its left half a multivariate-hypergeometric draw of its blocks.
-Shards so hold disjoint runs of permuted blocks, and rows of a shard are shuffled locally by a second hash.
-
-DataFrame functions only. At scale no text is shuffled: ids' hashes and sizes are checkpointed narrow, sums by (source, hash piece) are built on the map side, cuts are
-placed on them, and only the pieces that hold a cut are read again to find the hash value there. Which documents are taken,
-how often and into which shards is then a comparison of hash values with the row of their source. What the driver holds is a
-row for each source and cut; up to ``BROADCAST_SOURCES`` sources it is broadcast, beyond that joined.
-
-Defined results: null texts have size 0; a null source is a source, the last; rows that share an id are drawn together;
-sources of size 0 have target 0 unless all are (then nothing is taken); empty tables give an empty result; extra columns
-are not looked at. Reruns agree, as all randomness is hashed from ``seed``.
+A source's documents stand in the order of a hash of id and text, cut into blocks of equal words; a document is of the block
+that holds its middle word. A source's quota is the number of blocks nearest to its target, pass after pass over the permuted
+blocks. The quotas of all sources are split over the output shards by a tree: each node hands its left half a
+multivariate-hypergeometric draw of its blocks. A shard draws its blocks of a source as one run after those of the shards
+before it, so shards hold disjoint runs; a document is taken as often as its block is drawn, and only by that. Rows of a
+shard are shuffled locally by a second hash.
+
+DataFrame functions only. At scale no text is shuffled: ids' hashes and sizes are checkpointed narrow, sums by (source, hash piece) are built on the map side, the
+ends of runs are placed on them, and only the pieces that hold one are read again to find the hash value there. Which shards
+draw a document is then a comparison of its hash with the row of its source. What the driver holds is a
+row for each source and run; up to ``BROADCAST_SOURCES`` sources it is broadcast, beyond that joined. Of rows that share id
+and text, an end can fall between; only those groups are counted on the map side and dealt out again by number, in chunks.
+
+Defined results: null texts have size 0; a null source is a source, the last; null and repeated ids are rows like others (equal
+rows are told apart by number only); sources of size 0 have target 0 unless all are (then nothing is taken); empty tables
+give an empty result; extra columns are carried along, whatever their names. Reruns agree, as all randomness is hashed from
+``seed``.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import reliable, text_of, words
+from weirflow.llm.common import reliable, text_of, unused, words
 
 WEIGHTS = (5, 2, 1)
-#: Hash pieces of a source (a power of two), word blocks of the whole mix, and the most sources whose table is broadcast.
-PIECE_BITS, BLOCKS, BROADCAST_SOURCES = 10, 32_768, 10_000
+#: Hash pieces of a source (a power of two); word blocks of the whole mix, and of a source at least; the most sources whose
+#: table is broadcast; rows numbered at once.
+PIECE_BITS, BLOCKS, LEAST_BLOCKS, BROADCAST_SOURCES, CHUNK = 10, 1 << 24, 4096, 10_000, 100_000
 #: Documents in a run of a shard that is sorted by position.
 PART_ROWS = 2048
 #: What all randomness is hashed from unless told otherwise.
@@ -64,99 +68,111 @@ def source_key(source: Column) -> Column:
 
 
 def keyed(docs: DataFrame, id_col: str, text: str, source: str, seed: int) -> DataFrame:
-    """docs with _size (words), _source, _key (permuting hash) and _piece (its first bits)."""
-    key = F.xxhash64(F.lit(seed), F.col(id_col))
-    return docs.withColumns({"_size": F.size(words(text_of(text))).cast("long"), "_source": source_key(F.col(source)), "_key": key}).withColumn("_piece", F.shiftright("_key", 64 - PIECE_BITS))
+    """row (all columns of docs), size (words), source, key (permuting hash) and piece (its first bits)."""
+    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.size(words(text_of(text))).cast("long").alias("size"), source_key(F.col(source)).alias("source"), key.alias("key"))
+    return rows.withColumn("piece", F.shiftright("key", 64 - PIECE_BITS))
 
 
-def plan(docs: DataFrame, shards: int, most: float, seed: int) -> list[dict]:
-    """A dict for each source: size, target, passes, and the (pass, words) at which the mix and each shard but the last end."""
-    found = docs.groupBy("_source").agg(F.sum("_size").alias("size")).collect()
-    order = sorted(found, key=lambda r: (r["_source"] == "-", r["_source"]))
+def plan(rows: DataFrame, shards: int, most: float, seed: int) -> list[dict]:
+    """A dict for each source: size, target and the (pass, words) at which the run of each shard ends."""
+    found = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()
+    order = sorted(found, key=lambda r: (r["source"] == "-", r["source"]))
     sizes = [r["size"] for r in order]
     total = sum(sizes)
     goal = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sizes))], most) if total else [0.0] * len(sizes)
-    blocks = [max(1, round(BLOCKS * s / total)) if s else 0 for s in sizes] if total else [0] * len(sizes)
-    quotas = np.array([int(np.ceil(g / s * b - 1e-9)) if s else 0 for g, s, b in zip(goal, sizes, blocks, strict=True)], dtype=np.int64)
+    least = max(1, min(LEAST_BLOCKS, (1 << 27) // max(1, len(sizes))))
+    blocks = [max(least, round(BLOCKS * s / total)) if s else 0 for s in sizes]
+    quotas = np.array([min(round(g / s * b), int(most * b)) if s else 0 for g, s, b in zip(goal, sizes, blocks, strict=True)], dtype=np.int64)
     ends = np.cumsum(split(quotas, shards, np.random.default_rng(seed)), axis=0) if len(order) else []
-    out = []
-    for i, r in enumerate(order):
-        s, b = sizes[i], blocks[i]
-        whole = min(int(goal[i] // s), int(most)) if s else 0
-        at = [(int(e[i]) // b, int(e[i]) % b * s / b) if b else (0, 0.0) for e in ends[:-1]]
-        out.append({"_source": r["_source"], "size": s, "target": goal[i], "passes": whole, "rest": goal[i] - whole * s, "shard_ends": at})
-    return out
-
-
-def cut_keys(rows: DataFrame, cuts: list[tuple[str, int, float]]) -> dict[tuple[str, int], tuple[int, int]]:
-    """For each (source, number, words) the hash whose documents reach beyond so many words, and the words before it; a cut at
-    the source's end has none."""
-    pieces = rows.groupBy("_source", "_piece").agg(F.sum("_size").alias("n"))
-    pieces = pieces.withColumn("end", F.sum("n").over(Window.partitionBy("_source").orderBy("_piece"))).withColumn("start", F.col("end") - F.col("n"))
-    asked = rows.sparkSession.createDataFrame(cuts, "_source string, cut int, words double")
-    held = pieces.join(asked, "_source").where((F.col("start") <= F.col("words")) & (F.col("words") < F.col("end"))).select("_source", "_piece", "start", "cut", "words")
-    near = held.select("_source", "_piece").distinct()
-    keys = rows.join(F.broadcast(near) if len(cuts) <= 16 * BROADCAST_SOURCES else near, ["_source", "_piece"], "left_semi").groupBy("_source", "_piece", "_key").agg(F.sum("_size").alias("n"))
-    within = F.sum("n").over(Window.partitionBy("_source", "_piece").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0))
-    found = held.join(keys.withColumn("within", within), ["_source", "_piece"]).where(F.col("start") + F.col("within") > F.col("words"))
-    first = found.groupBy("_source", "cut").agg(F.min(F.struct("_key", (F.col("start") + F.col("within") - F.col("n")).alias("before"))).alias("f"))
-    return {(r["_source"], r["cut"]): (r["f"]["_key"], int(r["f"]["before"])) for r in first.collect()}
-
-
-def fillers(rows: DataFrame, gaps: list[tuple[str, int, float]]) -> dict[str, int]:
-    """For each (source, cut, missing words) the hash at or after the cut whose document comes nearest to what is missing,
-    where taking it comes nearer than taking none."""
-    asked = rows.sparkSession.createDataFrame(gaps, "_source string, cut long, gap double")
-    later = rows.join(F.broadcast(asked) if len(gaps) <= BROADCAST_SOURCES else asked, "_source").where(F.col("_key") >= F.col("cut"))
-    off = F.abs(F.col("_size") - F.col("gap"))
-    best = later.where(off < F.col("gap")).groupBy("_source").agg(F.min(F.struct(off.alias("off"), "_key")).alias("b"))
-    return {r["_source"]: r["b"]["_key"] for r in best.collect()}
+    return [
+        {"source": r["source"], "size": s, "target": g, "ends": [(int(e[i]) // b, int(e[i]) % b * s / b) if b else (0, 0.0) for e in ends]}
+        for i, (r, s, g, b) in enumerate(zip(order, sizes, goal, blocks, strict=True))
+    ]
+
+
+def cut_keys(rows: DataFrame, cuts: list[tuple[str, int, float]]) -> dict[tuple[str, int], tuple[int, int, int]]:
+    """For each (source, number, words) the hash at which so many words are reached, how many of the rows there have their
+    middle before the cut, and how many there are."""
+    pieces = rows.groupBy("source", "piece").agg(F.sum("size").alias("n"))
+    pieces = pieces.withColumn("end", F.sum("n").over(Window.partitionBy("source").orderBy("piece"))).withColumn("start", F.col("end") - F.col("n"))
+    asked = rows.sparkSession.createDataFrame(cuts, "source string, cut int, words double")
+    held = pieces.join(asked, "source").where((F.col("start") <= F.col("words")) & (F.col("words") < F.col("end"))).select("source", "piece", "start", "cut", "words")
+    near = held.select("source", "piece").distinct()
+    keys = rows.join(F.broadcast(near) if len(cuts) <= 16 * BROADCAST_SOURCES else near, ["source", "piece"], "left_semi").groupBy("source", "piece", "key").agg(F.sum("size").alias("n"), F.count("*").alias("m"))
+    within = F.sum("n").over(Window.partitionBy("source", "piece").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    found = held.join(keys.withColumn("within", within), ["source", "piece"]).where(F.col("start") + F.col("within") > F.col("words"))
+    left = F.col("words") - (F.col("start") + F.col("within") - F.col("n"))
+    before = F.least(F.greatest(F.ceil(left * F.col("m") / F.col("n") - 0.5), F.lit(0)), F.col("m"))
+    first = found.groupBy("source", "cut").agg(F.min(F.struct("key", before.alias("before"), "m")).alias("f"))
+    return {(r["source"], r["cut"]): (r["f"]["key"], int(r["f"]["before"]), r["f"]["m"]) for r in first.collect()}
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows with ``turn``, from 0 up among those of a (source, key). Equal rows are counted, not gathered."""
+    variants = rows.groupBy("row", "size", "source", "key").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source", "key").orderBy(F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chunks = variants.withColumn("before", before).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK)))).repartition("key", "chunk")
+    turns = F.sequence(F.col("chunk") * CHUNK, F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK) - 1)
+    return chunks.select("row", "size", "source", "key", "before", F.explode(turns).alias("at")).select("row", "size", "source", "key", (F.col("before") + F.col("at")).alias("turn"))
 
 
 def mix(docs: DataFrame, shards: int = 8, *, most: float = 3.0, seed: int = SEED, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """docs with _size, _source_size, _target, _copies (times taken) and _shards (of each copy; an array)."""
+    """row (the columns of docs), size, source_size, target, key, turn and shards: of each time that a row is drawn, the shard."""
     wide = keyed(docs, id_col, text, source, seed)
-    rows = reliable(wide.select("_source", "_piece", "_key", "_size"))
+    rows = reliable(wide.select("source", "piece", "key", "size"))
     sources = plan(rows, shards, most, seed)
-    used = [s for s in sources if s["size"]]
-    cuts = [(s["_source"], 0, float(s["rest"])) for s in used]
-    cuts += [(s["_source"], i + 1, float(words)) for s in used for i, (_, words) in enumerate(s["shard_ends"])]
+    cuts = [(s["source"], i, float(words)) for s in sources if s["size"] for i, (_, words) in enumerate(s["ends"]) if words > 0]
     keys = cut_keys(rows, cuts) if cuts else {}
-    gaps = [(s["_source"], keys[s["_source"], 0][0], s["rest"] - keys[s["_source"], 0][1]) for s in used if (s["_source"], 0) in keys]
-    fill = fillers(rows, gaps) if gaps else {}
-    key = lambda s, i: keys.get((s["_source"], i), (None,))[0]
-    table = [(s["_source"], s["size"], float(s["target"]), s["passes"], key(s, 0), fill.get(s["_source"]), [(p, key(s, i + 1)) for i, (p, _) in enumerate(s["shard_ends"])]) for s in sources]
-    table = docs.sparkSession.createDataFrame(table, "_source string, _source_size long, _target double, _passes int, _cut long, _fill long, _ends array<struct<pass:int,key:bigint>>")
-    joined = wide.join(F.broadcast(table) if len(sources) <= BROADCAST_SOURCES else table, "_source")
-    more = (F.col("_key") < F.col("_cut")) | F.coalesce(F.col("_key") == F.col("_fill"), F.lit(False))
-    copies = F.when(F.col("_source_size") == 0, F.lit(0)).otherwise(F.col("_passes") + F.coalesce(more, F.lit(False)).cast("int"))
-
-    def shard_of(turn: Column) -> Column:
-        past = F.filter("_ends", lambda e: (e["pass"] < turn) | ((e["pass"] == turn) & F.coalesce(F.col("_key") >= e["key"], F.lit(False))))
-        return F.size(past)
-
-    taken = joined.withColumn("_copies", copies)
-    numbers = F.when(F.col("_copies") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("_copies") - 1, F.lit(0))), shard_of)).otherwise(F.array().cast("array<int>"))
-    return taken.withColumn("_shards", numbers).select(*docs.columns, "_size", "_source_size", "_target", "_copies", "_shards")
-
-
-def position(seed: int, key: Column, copy: Column) -> Column:
+    none = (None, 0, 0)
+    table, shared = [], 0
+    for s in sources:
+        at = [(p, *keys.get((s["source"], i), none)) for i, (p, _) in enumerate(s["ends"])]
+        halved = sorted({key for _, key, before, m in at if 0 < before < m})
+        shared += len(halved)
+        table.append((s["source"], s["size"], float(s["target"]), [(p, key, before) for p, key, before, _ in at], halved))
+    table = docs.sparkSession.createDataFrame(table, "source string, source_size long, target double, ends array<struct<pass:int,key:bigint,before:bigint>>, halved array<bigint>")
+    table = F.broadcast(table) if len(sources) <= BROADCAST_SOURCES else table
+    joined = wide.drop("piece").join(table, "source")
+    if shared:
+        apart = F.array_contains("halved", F.col("key"))
+        own = numbered(joined.where(apart).select("row", "size", "source", "key")).join(table, "source")
+        joined = joined.where(~apart).withColumn("turn", F.lit(0).cast("long")).unionByName(own)
+    else:
+        joined = joined.withColumn("turn", F.lit(0).cast("long"))
+
+    def drawn_before(end: Column, turn: Column) -> Column:
+        """Whether the run ends after this pass of the row."""
+        inside = (F.col("key") < end["key"]) | ((F.col("key") == end["key"]) & (F.col("turn") < end["before"]))
+        return (end["pass"] > turn) | ((end["pass"] == turn) & F.coalesce(inside, F.lit(False)))
+
+    # pass t of a row is drawn by the first shard whose run ends after it
+    passes = F.array(*[F.lit(t) for t in range(int(most) + 1)])
+    past = F.transform(passes, lambda t: F.size(F.filter("ends", lambda e: ~drawn_before(e, t))))
+    drawn = F.when(F.col("source_size") > 0, F.filter(past, lambda shard: shard < shards)).otherwise(F.array().cast("array<int>"))
+    return joined.select("row", "size", "source_size", "target", "key", "turn", drawn.alias("shards"))
+
+
+def position(seed: int, copy: Column) -> Column:
     """Where a copy stands in its shard: the sort key of the local shuffle."""
-    return F.xxhash64(F.lit(seed + 1), key, copy)
+    return F.xxhash64(F.lit(seed + 1), F.col("key"), F.col("turn"), copy)
 
 
-def mixed_rows(docs: DataFrame, shards: int = 8, *, seed: int = SEED, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: docs' columns once for every copy taken, with shard and position (the local shuffle's sort key)."""
-    drawn = mix(docs, shards, seed=seed, id_col=id_col, **options)
-    copies = drawn.select(*docs.columns, F.posexplode("_shards").alias("_copy", "shard"))
-    return copies.withColumn("position", position(seed, F.col(id_col), F.col("_copy"))).drop("_copy")
+def mixed_rows(docs: DataFrame, shards: int = 8, *, seed: int = SEED, **options) -> DataFrame:
+    """The mix itself: docs' columns once for every copy taken, with shard and position (the local shuffle's sort key); columns
+    of docs with these names stay, and the new ones get an underscore."""
+    drawn = mix(docs, shards, seed=seed, **options)
+    copies = drawn.select("row", "key", "turn", F.posexplode("shards").alias("copy", "shard"))
+    shard, place = unused(docs, "shard", "position")
+    return copies.select("row.*", F.col("shard").alias(shard), position(seed, F.col("copy")).alias(place))
 
 
 def shuffled_rows(docs: DataFrame, shards: int = 8, *, part_rows: int = PART_ROWS, **options) -> DataFrame:
     """The mix with every shard in the order of its positions. A shard is cut by position into runs of about ``part_rows``
     documents, so no task holds a large shard; a run lies in one partition, sorted."""
     runs = max(1, -(-docs.count() // (shards * part_rows)))
+    shard, place, name = unused(docs, "shard", "position", "run")
     # the highest 31 bits of the position, from 0 up, give its run
-    run = F.floor((F.shiftright("position", 33) + F.lit(1 << 30)) * runs / F.lit(float(1 << 31))).cast("int")
-    dealt = mixed_rows(docs, shards, **options).withColumn("_run", run).repartition(shards * runs, "shard", "_run")
-    return dealt.sortWithinPartitions("shard", "position").drop("_run")
+    run = F.floor((F.shiftright(place, 33) + F.lit(1 << 30)) * runs / F.lit(float(1 << 31))).cast("int")
+    dealt = mixed_rows(docs, shards, **options).withColumn(name, run).repartition(shards * runs, shard, name)
+    return dealt.sortWithinPartitions(shard, place).drop(name)

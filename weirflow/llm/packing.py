@@ -10,9 +10,10 @@ Packing is local to a task: a scan without a shuffle, a pool of bounded size, id
 of ids, so the few short windows at its end don't count. A rerun of a lost task gives the same windows, as window numbers
 hold the partition's number and nothing depends on other tasks.
 
-Encoding: a text whose white space is single blanks and line feeds between words is encoded word by word (no pre-token spans
-them) from a table of bounded size kept by the worker; any other text, and any with a special token's string, goes whole
-through the library.
+Encoding: where white space is single blanks and line feeds between words, no pre-token spans a line feed, and lines of short
+words in Latin letters are encoded from the vocabulary's ranks in one call, the same merges as the library's; of other lines
+each word is encoded on its own, from a small table kept by the worker. Any other text, and any with a special token's string,
+goes whole through the library. A worker holds the texts of about 4 MB at a time, whatever Spark's batches are.
 
 Defined results: null and empty texts are the closing id alone; null ids and repeated rows are packed like others; an empty
 table gives an empty result; extra columns are not looked at; texts of any length are packed whole.
@@ -26,31 +27,33 @@ from array import array
 from bisect import bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weirflow.llm.common import held, slices
+
 WINDOW, LEAST_TIER, STEP = 1024, 128, 8192
 #: Pending ids at which a task packs, down to the second figure.
 POOL, REST = 1 << 19, 1 << 16
-#: Words of each of a worker's two tables (about 200 bytes each), and the longest word kept there.
-CACHE_WORDS, CACHED_CHARS = 700_000, 48
-FIRST_NOT_LATIN = "\u0250"
+#: Words of the worker's table (about 200 bytes each), and the longest word kept there; the longest that ranks encode.
+CACHE_WORDS, CACHED_CHARS, LONG = 50_000, 48, 200
 CLOSING = b"\0\0\0\0"
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+_LONG_WORD = re.compile(rf"(?:^|[ \n])[^ \n]{{{LONG}}}")
+_NOT_LATIN = re.compile("[\u0250-\U0010ffff]")
 
 
 class Table(dict):
     """Word -> ids as little-endian unsigned 32-bit integers, filled on first use and emptied when full."""
 
-    def __init__(self, blank: str, encode):
-        self.blank, self.encode = blank, encode
+    def __init__(self, encode):
+        self.encode = encode
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(self.blank + word)
+        ids = self.encode(word)
         if len(word) <= CACHED_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -58,27 +61,37 @@ class Table(dict):
         return ids
 
 
-class WordIds:
-    """Ids of texts. Short words of Latin letters are encoded from the vocabulary's ranks, where given: the same merges at a
-    third of the call's cost; all else by the library itself."""
+class TextIds:
+    """Ids of texts, as the library gives them; from the vocabulary's ranks, where given, at a fifth of its cost."""
 
     def __init__(self, path: str, ranks: str | None = None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.merged = ranked(ranks) if ranks else None
-        #: Of a line's first word, and of a word after a blank.
-        self.first, self.later = Table("", self.word), Table(" ", self.word)
+        self.words = Table(self.word)
         self.feed = self.library("\n")
 
     def library(self, text: str) -> bytes:
         return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def plain(self, text: str) -> bool:
+        """Short words in Latin letters only."""
+        return self.merged is not None and (text.isascii() or not _NOT_LATIN.search(text)) and not _LONG_WORD.search(text)
+
+    def from_ranks(self, text: str) -> bytes:
+        return array("I", self.merged.encode_ordinary(text)).tobytes()
+
     def word(self, word: str) -> bytes:
-        if self.merged and word and max(word) < FIRST_NOT_LATIN:
-            return array("I", self.merged.encode_ordinary(word)).tobytes()
-        return self.library(word)
+        return self.from_ranks(word) if word and self.plain(word) else self.library(word)
+
+    def line(self, line: str) -> bytes:
+        if self.plain(line):
+            return self.from_ranks(line)
+        first, *later = line.split(" ")
+        return b"".join([self.words[first], *[self.words[" " + w] for w in later]])
 
     def regular(self, text: str) -> bool:
         return not (_OTHER_SPACE.search(text) or text[-1] in " \n" or any(s in text for s in ("  ", "\n\n", " \n", "\n ")) or any(s in text for s in self.special))
@@ -88,9 +101,9 @@ class WordIds:
             return b""
         if not self.regular(text):
             return self.library(text)
-        later = self.later.__getitem__
-        lines = [line.split(" ") for line in text.split("\n")]
-        return self.feed.join([self.first[x[0]] + b"".join(map(later, x[1:])) for x in lines])
+        if self.plain(text):
+            return self.from_ranks(text)
+        return self.feed.join([self.line(x) if x else b"" for x in text.split("\n")])
 
 
 def ranked(ranks: str):
@@ -105,13 +118,6 @@ def ranked(ranks: str):
     return tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
-@lru_cache(maxsize=2)
-def word_ids(path: str, ranks: str | None = None) -> WordIds:
-    """The worker's table for a tokenizer; it outlives a task. Spark runs a task a core, so the library gets one thread."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordIds(path, ranks)
-
-
 def tier_of(n: int) -> int:
     """The smallest tier that holds ``n`` ids."""
     return max(LEAST_TIER, 1 << (n - 1).bit_length())
@@ -190,27 +196,28 @@ class Packer:
             offset += length
         self.sequence += 1
 
-    def rows(self, names: list[str]) -> pd.DataFrame:
-        out, self.out = self.out, []
-        frame = pd.DataFrame(out, columns=names)
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        return frame
+    def rows(self) -> pa.RecordBatch:
+        columns, self.out = list(zip(*self.out, strict=True)) or [[]] * len(SCHEMA), []
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, SCHEMA.types, strict=True)], schema=SCHEMA)
+
+
+SCHEMA = pa.schema({"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids": pa.binary(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "tier": pa.int32(), "step_group": pa.int64()})
+#: Pieces that a task hands on at once.
+ROWS = 5000
 
 
 def pack(docs: DataFrame, path: str, ranks: str | None = None, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start, length, ids (binary), doc_tokens, sequence_id, offset, tier and step_group of every piece."""
-    schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
-    names = [part.split()[0] for part in schema.split(", ")]
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, packer = word_ids(path, ranks), Packer(TaskContext.get().partitionId() << 40)
-        for batch in batches:
-            for doc, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, packer = held("text ids", (path, ranks), lambda: TextIds(path, ranks)), Packer(TaskContext.get().partitionId() << 40)
+        for part in slices(batches, "text"):
+            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 packer.add(doc, table.of(text) + CLOSING)
-                if len(packer.out) >= 20_000:
-                    yield packer.rows(names)
-            yield packer.rows(names)
+                if len(packer.out) >= ROWS:
+                    yield packer.rows()
         packer.finish()
-        yield packer.rows(names)
+        yield packer.rows()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(packed, schema)
+    schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(packed, schema)

@@ -70,8 +70,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.mixing import SEED, mix, position
 
     rows = mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
-    positions = F.transform("_shards", lambda shard, copy: position(SEED, F.col("doc_id"), copy))
-    return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"), F.array_join(F.col("_shards").cast("array<string>"), ",").alias("shards"), F.array_join(positions.cast("array<string>"), ",").alias("positions"))
+    positions = F.transform("shards", lambda shard, copy: position(SEED, copy))
+    taken = F.col("size") * F.size("shards")
+    return rows.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"), F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"), F.array_join(positions.cast("array<string>"), ",").alias("positions"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
