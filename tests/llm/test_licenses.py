@@ -1,6 +1,6 @@
 import re
 
-from weirflow.llm.licenses import BASE, scan
+from weirflow.llm.licenses import BASE, NOTICES, scan
 from weirflow.llm.queries import op10_licenses
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -35,3 +35,36 @@ def test_notices_edits_and_odd_rows(spark):
     assert len(rows) == len(texts) + 1 and "bsd-text" in next(r.labels for r in rows if r.doc_id == 3)
     assert scan(spark.createDataFrame([], docs.schema)).collect() == []
     assert scan(spark.createDataFrame([(None, "the MIT license", 1)], docs.schema)).collect()[0].base_labels == "mit"
+
+
+def labels_of(spark, texts):
+    rows = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [set(filter(None, r.labels.split(","))) for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_versions_and_families_are_told_apart(spark):
+    body = "This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation"
+    got = labels_of(spark, [
+        "GNU General Public License version 2", "GNU General Public License, version 3 or later", "GNU Lesser General Public License version 3", "GNU Affero General Public License version 3",
+        "GNU General Public License version 9", "x version 2 of it. GNU General Public License version 3", "Apache License, Version 2.0", "Apache License, Version 1.1", "Mozilla Public License, version 2.0",
+        "Mozilla Public License 1.1", body.format("GNU General Public License"), body.format("GNU Affero General Public License"), "CC BY-SA 4.0", "CC BY 4.0",
+        "GNU General (Public) Licence License version 3", "the cat sat on the mat and the dog is in the garden with any of the other cats",
+    ])
+    assert got == [
+        {"gpl", "gpl-2.0"}, {"gpl", "gpl-3.0"}, {"lgpl"}, {"agpl"}, {"gpl"}, {"gpl", "gpl-3.0"}, {"apache", "apache-2.0"}, {"apache"}, {"mpl", "mpl-2.0"}, {"mpl"},
+        {"gpl", "gpl-text"}, {"agpl"}, {"cc-by", "cc-by-sa"}, {"cc-by"}, {"gpl-3.0"}, set(),
+    ]
+
+
+def test_labels_hold_against_a_plain_search_for_whole_notices(spark, sf_dir):
+    """Without the join: a text with all words of a notice in a row has its label; a label's own words stand near each other."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    found = {r.doc_id: set(r.labels.split(",")) for r in op10_licenses(spark, sf_dir).collect()}
+    for d, text in texts.items():
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        line, near = f" {' '.join(w)} ", [f" {' '.join(w[i : i + 30])} " for i in range(len(w))]
+        for phrase, label, _ in NOTICES:
+            assert f" {phrase} " not in line or label in found[d]
+        for label in found[d] - {"", *(label for _, label in BASE)}:
+            assert any(all(f" {x} " in part for x in own.split()) for _, name, own in NOTICES if name == label for part in near)
+        assert "gpl-2.0" not in found[d] or " version 2 " in line or " v2 " in line

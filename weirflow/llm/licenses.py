@@ -1,9 +1,11 @@
 """License scans by diagonal voting.
 
-All rolling word k-grams of every text are hashed and joined to the k-gram positions of short license templates. A hit at
+All rolling word k-grams of every text are hashed and joined to the k-gram positions of license templates. A hit at
 word p of a text and word t of a template votes for the diagonal p - t. Votes are counted by (text, template, diagonal);
-neighbouring diagonals are merged, so that a few words put in or left out do not split a match; a span is verified by
-the share of the template's k-grams that it holds. Base phrases count where one diagonal holds the whole phrase.
+neighbouring diagonals are merged, so that a few words put in or left out do not split a match. A span is verified if it holds
+``VERIFIED`` of the template's k-grams and every k-gram with one of the template's own words (a version number, the word that
+tells one license of a family from another), so a near match of another version or family is none. K-grams of function words
+alone are in every English text; templates are not indexed by them. Base phrases count where one diagonal holds the whole phrase.
 
 DataFrame functions only. The k-grams are made and joined in one stage: the template table is fixed and small (its rows are
 the words below), so it is broadcast and nothing but hits is shuffled, by text; a common license line is many texts, not one
@@ -22,24 +24,55 @@ from weirflow.llm.common import bind, lower_ascii, text_of
 
 #: The contract's phrases and labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Common license notices and the labels they add.
+#: Words of common license notices and texts, the label each adds, and the template's own words.
 NOTICES = (
-    ("licensed under the apache license version 2 0", "apache-2.0"),
-    ("gnu general public license version 2", "gpl-2.0"),
-    ("gnu general public license version 3", "gpl-3.0"),
-    ("gnu lesser general public license", "lgpl"),
-    ("gnu affero general public license", "agpl"),
-    ("mozilla public license", "mpl"),
-    ("released under the mit license", "mit-notice"),
-    ("permission is hereby granted free of charge to any person obtaining a copy", "mit-text"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd-text"),
-    ("cc by nc", "cc-by-nc"),
-    ("cc by sa", "cc-by-sa"),
-    ("cc by nd", "cc-by-nd"),
-    ("all rights reserved", "all-rights-reserved"),
+    ("apache license version 2 0", "apache-2.0", "apache 2 0"),
+    ("apache license 2 0", "apache-2.0", "apache 2 0"),
+    ("gnu general public license version 2", "gpl-2.0", "gnu general 2"),
+    ("gnu general public license v2", "gpl-2.0", "gnu general v2"),
+    ("gnu general public license version 3", "gpl-3.0", "gnu general 3"),
+    ("gnu general public license v3", "gpl-3.0", "gnu general v3"),
+    ("gnu lesser general public license", "lgpl", "lesser"),
+    ("gnu library general public license", "lgpl", "library"),
+    ("gnu affero general public license", "agpl", "affero"),
+    ("mozilla public license", "mpl", "mozilla"),
+    ("mozilla public license version 2 0", "mpl-2.0", "mozilla 2 0"),
+    ("eclipse public license", "epl", "eclipse"),
+    ("boost software license", "bsl", "boost"),
+    ("released under the mit license", "mit-notice", "mit"),
+    ("licensed under the mit license", "mit-notice", "mit"),
+    ("cc by nc", "cc-by-nc", "nc"),
+    ("cc by sa", "cc-by-sa", "sa"),
+    ("cc by nd", "cc-by-nd", "nd"),
+    ("creative commons attribution", "creative-commons", "creative attribution"),
+    ("all rights reserved", "all-rights-reserved", "rights"),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "mit-text", ""),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit-text", ""),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc-text", ""),
+    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd-text", ""),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "bsd-3-text", ""),
+    ("you may obtain a copy of the license at http www apache org licenses license 2 0", "apache-2.0", "apache 2 0"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl-text", "gnu general"),
+    ("this is free and unencumbered software released into the public domain", "unlicense", "unencumbered"),
+    ("this software is provided as is without any express or implied warranty", "zlib-text", ""),
+    ("everyone is permitted to copy and distribute verbatim copies of this license document", "gpl-family-text", ""),
 )
+#: Words of which no k-gram of a template may consist alone.
+FUNCTION_WORDS = frozenset("a an and any are as at be by can for from in into is it its may nor not of on or shall that the this to used with without you".split())
 #: Words a k-gram has, diagonals apart that still merge, and the least share of a template's k-grams in a verified span.
-K, NEAR, VERIFIED = 2, 2, 0.75
+K, NEAR, VERIFIED = 2, 2, 0.7
+
+
+def template_grams() -> list[tuple]:
+    """template, label, base, grams (how many are indexed), own (how many of them must be hit), at, the two words of a k-gram,
+    and whether it must be hit, as it has one of the template's own words."""
+    out = []
+    for i, (phrase, label, *own) in enumerate(BASE + NOTICES):
+        w, mine = phrase.split(" "), set(own[0].split()) if own else set()
+        grams = [(at, a, b) for at, (a, b) in enumerate(zip(w, w[1:], strict=False)) if not {a, b} <= FUNCTION_WORDS]
+        needed = [bool({a, b} & mine) for _, a, b in grams]
+        out += [(i, label, i < len(BASE), len(grams), sum(needed), at, a, b, n) for (at, a, b), n in zip(grams, needed, strict=True)]
+    return out
 
 
 def license_words(text: Column) -> Column:
@@ -53,10 +86,9 @@ def gram_hashes(words: Column) -> Column:
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """template, label, base, grams, at, gram: the k-gram positions of all templates (a fixed table of some eighty rows)."""
-    rows = [(i, phrase, label, i < len(BASE)) for i, (phrase, label) in enumerate(BASE + NOTICES)]
-    made = spark.createDataFrame(rows, "template int, phrase string, label string, base boolean").withColumn("hashes", gram_hashes(license_words(F.col("phrase"))))
-    return made.select("template", "label", "base", F.size("hashes").alias("grams"), F.posexplode("hashes").alias("at", "gram"))
+    """template, label, base, grams, own, at, needed, gram: the k-gram positions of all templates (a fixed table of some two hundred rows)."""
+    rows = spark.createDataFrame(template_grams(), "template int, label string, base boolean, grams int, own int, at int, a string, b string, needed boolean")
+    return rows.select("template", "label", "base", "grams", "own", "at", "needed", F.xxhash64("a", "b").alias("gram"))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -65,20 +97,20 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> Data
     rows = docs.select(F.col(id_col).alias("doc_id"), F.md5(t).alias("digest"), license_words(t).alias("w"))
     grams = rows.select("doc_id", "digest", F.posexplode(gram_hashes(F.col("w"))).alias("place", "gram"))
     hits = grams.join(F.broadcast(templates(docs.sparkSession)), "gram")
-    of = ["doc_id", "digest", "template", "label", "base", "grams"]
-    diagonals = hits.groupBy(*of, (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
+    of = ["doc_id", "digest", "template", "label", "base", "grams", "own"]
+    diagonals = hits.groupBy(*of, (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"), F.collect_set(F.when(F.col("needed"), F.col("at"))).alias("needs"))
     by = Window.partitionBy("doc_id", "digest", "template").orderBy("diagonal")
     apart = F.when(F.col("diagonal") - F.lag("diagonal").over(by) <= NEAR, 0).otherwise(1)
     merged = diagonals.withColumn("apart", apart).withColumn("span", F.sum("apart").over(by))
     whole = F.col("base") & (F.size("ats") == F.col("grams"))
     spans = merged.groupBy(*of, "span").agg(
-        (F.size(F.array_distinct(F.flatten(F.collect_list("ats")))) / F.col("grams")).alias("share"),
+        (F.size(F.array_distinct(F.flatten(F.collect_list("ats")))) / F.col("grams")).alias("share"), F.size(F.array_distinct(F.flatten(F.collect_list("needs")))).alias("met"),
         F.count_if(whole).alias("places"), F.min(F.when(whole, F.col("diagonal"))).alias("first"), F.max(F.when(whole, F.col("diagonal"))).alias("last"),
     )
     found = spans.groupBy("doc_id", "digest").agg(
         F.sum("places").alias("n_base"), F.min("first").cast("long").alias("first_word"), F.max("last").cast("long").alias("last_word"),
         F.sort_array(F.collect_set(F.when(F.col("places") > 0, F.col("label")))).alias("base_labels"),
-        F.sort_array(F.collect_set(F.when((F.col("places") > 0) | (~F.col("base") & (F.col("share") >= VERIFIED)), F.col("label")))).alias("labels"),
+        F.sort_array(F.collect_set(F.when((F.col("places") > 0) | (~F.col("base") & (F.col("share") >= VERIFIED) & (F.col("met") == F.col("own"))), F.col("label")))).alias("labels"),
         F.max("share").alias("score"),
     )
     found = found.withColumnsRenamed({"doc_id": "_id", "digest": "_digest"})
@@ -90,18 +122,17 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> Data
 
 def sql() -> str:
     """DuckDB twin of op10, with the words of the k-grams in place of their hashes."""
-    rows = ", ".join(f"({i}, '{phrase}', '{label}', {i < len(BASE)})" for i, (phrase, label) in enumerate(BASE + NOTICES))
+    rows = ", ".join(f"({i}, '{label}', {base}, {grams}, {own}, {at}, '{a} {b}', {needed})" for i, label, base, grams, own, at, a, b, needed in template_grams())
     return rf"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
-t AS (SELECT template, string_split(phrase, ' ') AS w, label, base FROM (VALUES {rows}) v(template, phrase, label, base)),
-tg AS (SELECT template, label, base, len(w) - 1 AS grams, i - 1 AS tpos, w[i] || ' ' || w[i + 1] AS g FROM (SELECT *, unnest(range(1, len(w))) AS i FROM t)),
+tg AS (SELECT * FROM (VALUES {rows}) v(template, label, base, grams, own, tpos, g, needed)),
 dg AS (SELECT doc_id, i - 1 AS place, w[i] || ' ' || w[i + 1] AS g FROM (SELECT *, unnest(range(1, len(w))) AS i FROM d)),
-diagonals AS (SELECT doc_id, template, label, base, grams, place - tpos AS diagonal, list(DISTINCT tpos) AS ats FROM dg JOIN tg USING (g) GROUP BY ALL),
+diagonals AS (SELECT doc_id, template, label, base, grams, own, place - tpos AS diagonal, list(DISTINCT tpos) AS ats, coalesce(list(DISTINCT tpos) FILTER (WHERE needed), []) AS needs FROM dg JOIN tg USING (g) GROUP BY ALL),
 apart AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {NEAR} THEN 0 ELSE 1 END AS new FROM diagonals),
 merged AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM apart),
-spans AS (SELECT doc_id, label, base, len(list_distinct(flatten(list(ats)))) / grams AS share, count(*) FILTER (WHERE base AND len(ats) = grams) AS places,
-  min(diagonal) FILTER (WHERE base AND len(ats) = grams) AS a, max(diagonal) FILTER (WHERE base AND len(ats) = grams) AS b FROM merged GROUP BY doc_id, template, label, base, grams, span),
+spans AS (SELECT doc_id, label, base, own, len(list_distinct(flatten(list(ats)))) / grams AS share, len(list_distinct(flatten(list(needs)))) AS met, count(*) FILTER (WHERE base AND len(ats) = grams) AS places,
+  min(diagonal) FILTER (WHERE base AND len(ats) = grams) AS a, max(diagonal) FILTER (WHERE base AND len(ats) = grams) AS b FROM merged GROUP BY doc_id, template, label, base, grams, own, span),
 found AS (SELECT doc_id, sum(places)::BIGINT AS n_base, min(a)::BIGINT AS first_word, max(b)::BIGINT AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE places > 0) AS base_labels,
-  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE places > 0 OR (NOT base AND share >= {VERIFIED})) AS labels, max(share) AS score FROM spans GROUP BY doc_id)
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE places > 0 OR (NOT base AND share >= {VERIFIED} AND met = own)) AS labels, max(share) AS score FROM spans GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN found USING (doc_id)
 """
