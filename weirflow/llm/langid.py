@@ -25,15 +25,15 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import reliable
+from weirflow.llm.common import held, reliable, slices, unused
 
 SLOTS, HASHES, ORDERS = 1 << 20, 4, 3
-#: Words whose votes a worker keeps; distinct words and n-grams that a task counts before it hands them on.
-CACHE_WORDS, FLUSH_WORDS = 400_000, 200_000
+#: Words whose votes a worker keeps; distinct words that a task counts before it hands them on; words cut into n-grams at once.
+CACHE_WORDS, FLUSH_WORDS, CHUNK_WORDS = 150_000, 200_000, 16_384
 #: Least share of a text's n-grams of two letters and more that its language must hold. Documents of sf0.1 (the first 6,000 that
 #: pass the quality rules) have 0.57 and more, nine texts of random letters 0.17 and less, one each in Finnish and Turkish, not learned, 0.29 and less.
 LEAST_EVIDENCE = 0.45
@@ -73,25 +73,30 @@ def slots_of(x: np.ndarray) -> list[np.ndarray]:
 def gram_counts(train: DataFrame) -> DataFrame:
     """lang, gram (signed hash), n: counts over all texts of ``train`` (lang, text)."""
 
-    def expand(held: dict[str, Counter]) -> Iterator[pd.DataFrame]:
-        for lang, words in held.items():
-            if words:
-                x, of = grams(list(words))
-                gram, at = np.unique(x, return_inverse=True)
-                n = np.bincount(at, weights=np.fromiter(words.values(), np.float64, len(words))[of])
-                yield pd.DataFrame({"lang": lang, "gram": gram.view(np.int64), "n": n.astype(np.int64)})
-        held.clear()
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def expand(lang: str | None, words: Counter) -> pa.RecordBatch:
+        """All n-grams of the counted words, cut and summed chunk by chunk."""
+        order, grams_of, counts = list(words), [np.empty(0, np.uint64)], [np.empty(0)]
+        for at in range(0, len(order), CHUNK_WORDS):
+            some = order[at : at + CHUNK_WORDS]
+            x, of = grams(some)
+            gram, where = np.unique(x, return_inverse=True)
+            grams_of.append(gram)
+            counts.append(np.bincount(where, weights=np.fromiter(map(words.__getitem__, some), np.float64, len(some))[of]))
+        gram, where = np.unique(np.concatenate(grams_of), return_inverse=True)
+        n = np.bincount(where, weights=np.concatenate(counts), minlength=len(gram)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
-        for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
+        for part in slices(batches, "text"):
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
                 held.setdefault(lang, Counter()).update(words_of(text))
             if sum(map(len, held.values())) > FLUSH_WORDS:
-                yield from expand(held)
-        yield from expand(held)
+                yield from map(expand, held, held.values())
+                held.clear()
+        yield from map(expand, held, held.values())
 
-    return train.select("lang", "text").mapInPandas(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return train.select("lang", "text").mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Filters:
@@ -153,7 +158,7 @@ class WordVotes:
         if new:
             order = list(new)
             self.at.update(zip(order, range(len(self.at), len(self.at) + len(order)), strict=True))
-            self.rows = np.concatenate([self.rows, self.filters.votes(order)])
+            self.rows = np.concatenate([self.rows, *[self.filters.votes(order[i : i + CHUNK_WORDS]) for i in range(0, len(order), CHUNK_WORDS)]])
         out = np.zeros((len(texts), self.rows.shape[1]))
         for i, words in enumerate(texts):
             if words:
@@ -161,16 +166,6 @@ class WordVotes:
         return out
 
 
-_kept: list[WordVotes] = []
-
-
-def kept(filters: Filters) -> WordVotes:
-    """This worker's table for the filters; the one of an earlier model goes."""
-    if not _kept or _kept[0].filters.name != filters.name:
-        _kept[:] = [WordVotes(filters)]
-    return _kept[0]
-
-
 def train_filters(train: DataFrame, *, least: float = 1e-5, contrast: float = 0.5) -> Filters:
     """The filters of all learned languages, from rows of (lang, text)."""
     counts = reliable(gram_counts(train))
@@ -196,32 +191,34 @@ def prediction(docs: DataFrame, filters: Filters, text: str = "text") -> Column:
     holds, less its false positives) as one struct."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
-    @F.pandas_udf("struct<lang_pred:string,score:double,evidence:double>")
-    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table = kept(shared.value)
-        names = np.array([*shared.value.languages, "und"], dtype=object)
-        n = len(names) - 1
+    def of(texts: list[list[str]], table: WordVotes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        filters, rows = table.filters, np.arange(len(texts))
+        some = np.fromiter(map(has_letter, texts), bool, len(texts))
+        if not filters.languages:
+            return np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
+        votes = table.both(texts)
+        true, longer = (np.maximum(0.0, (v[:, :-1] - v[:, -1:] * filters.false) / (1 - filters.false)) for v in np.split(votes, 2, axis=1))
+        best = true.argmax(axis=1)
+        share = longer[rows, best] / np.maximum(votes[:, -1], 1.0)
+        return np.where(some, best, len(filters.languages)), np.where(some, confidence(true), 0.0), np.where(some, share, 0.0)
+
+    @F.arrow_udf("struct<lang_pred:string,score:double,evidence:double>")
+    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        filters = shared.value
+        table = held("word votes", filters.name, lambda: WordVotes(filters))
+        names = pa.array([*filters.languages, "und"])
         for batch in batches:
-            best, score, evidence = np.full(len(batch), n), np.zeros(len(batch)), np.zeros(len(batch))
-            for at in range(0, len(batch) if n else 0, 256):
-                texts = [words_of(t) for t in batch.iloc[at : at + 256]]
-                votes = table.both(texts)
-                true, longer = (np.maximum(0.0, (v[:, :-1] - v[:, -1:] * shared.value.false) / (1 - shared.value.false)) for v in np.split(votes, 2, axis=1))
-                rows = np.arange(at, at + len(texts))
-                some = np.fromiter(map(has_letter, texts), bool, len(texts))
-                best[rows[some]] = true.argmax(axis=1)[some]
-                score[rows] = np.where(some, confidence(true), 0.0)
-                told = longer[np.arange(len(texts)), true.argmax(axis=1)]
-                evidence[rows] = np.where(some, told / np.maximum(votes[:, -1], 1.0), 0.0)
-            yield pd.DataFrame({"lang_pred": names[best], "score": score, "evidence": evidence})
+            parts = [of([words_of(t) for t in part.column(0).to_pylist()], table) for part in slices([pa.RecordBatch.from_arrays([batch], names=["t"])], "t", 1_000_000)]
+            best, score, evidence = (np.concatenate([np.empty(0), *x]) for x in (zip(*parts, strict=True) if parts else ((), (), ())))
+            yield pa.StructArray.from_arrays([names.take(pa.array(best.astype(np.int64))), pa.array(score), pa.array(evidence)], names=["lang_pred", "score", "evidence"])
 
     return predicted(F.coalesce(F.col(text), F.lit("")))
 
 
 def identify(docs: DataFrame, filters: Filters, *, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
-    told = docs.withColumn("_told", prediction(docs, filters, text))
-    return told.withColumns({"lang_pred": F.col("_told.lang_pred"), "score": F.col("_told.score")}).drop("_told")
+    """docs with lang_pred and score, in the place of any columns of these names."""
+    (told,) = unused(docs, "told")
+    return docs.withColumn(told, prediction(docs, filters, text)).withColumns({"lang_pred": F.col(f"{told}.lang_pred"), "score": F.col(f"{told}.score")}).drop(told)
 
 
 def remainder(id_col: str, parts: int) -> Column:
@@ -241,5 +238,6 @@ def split_and_identify(docs: DataFrame, *, id_col: str = "doc_id", text: str = "
 def keep_identified(docs: DataFrame, least_score: float = 0.0, least_evidence: float = LEAST_EVIDENCE, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents whose language is told with a score over ``least_score`` and with at least ``least_evidence`` of their
     n-grams in its filter, with their own columns."""
-    told = docs.withColumn("_told", prediction(docs, learned(docs, id_col, text, lang), text))
-    return told.where((F.col("_told.lang_pred") != "und") & (F.col("_told.score") > least_score) & (F.col("_told.evidence") >= least_evidence)).drop("_told")
+    (told,) = unused(docs, "told")
+    found = docs.withColumn(told, prediction(docs, learned(docs, id_col, text, lang), text))
+    return found.where((F.col(f"{told}.lang_pred") != "und") & (F.col(f"{told}.score") > least_score) & (F.col(f"{told}.evidence") >= least_evidence)).drop(told)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import SPACE, bind, reliable, text_of, words
+from weirflow.llm.common import SPACE, bind, reliable, text_of, unused, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -90,11 +90,12 @@ def assess(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", host:
 def keep_good(docs: DataFrame, *, text: str = "text", host: str = "source", max_rate: float = 0.5) -> DataFrame:
     """The documents that pass, with their own columns. Texts are measured once for the hosts and once for themselves, in place
     of a shuffle of the texts; rejected hosts are taken out by an anti join."""
-    counts = measures(F.col(text))["counts"]
-    bad = F.col("_counts")
-    flagged = docs.withColumn("_counts", counts).withColumn("_failed", failed(bad["n_words"], bad["n_repeat_words"]))
-    rejected = host_verdicts(flagged.select(F.col(host).alias("host"), F.col("_failed").alias("base_failed")), max_rate).where(~F.col("host_kept")).select(F.col("host").alias("_host"))
-    return flagged.where(~F.col("_failed")).join(sized(rejected), F.col(host).eqNullSafe(F.col("_host")), "left_anti").select(*docs.columns)
+    counts, bad, of = unused(docs, "counts", "failed", "of_host")
+    flagged = docs.withColumn(counts, measures(F.col(text))["counts"])
+    flagged = flagged.withColumn(bad, failed(F.col(f"{counts}.n_words"), F.col(f"{counts}.n_repeat_words")))
+    verdicts = host_verdicts(flagged.select(F.col(host).alias("host"), F.col(bad).alias("base_failed")), max_rate)
+    rejected = verdicts.where(~F.col("host_kept")).select(F.col("host").alias(of))
+    return flagged.where(~F.col(bad)).join(sized(rejected), F.col(host).eqNullSafe(F.col(of)), "left_anti").select(*docs.columns)
 
 
 #: DuckDB twin of op7.

@@ -12,8 +12,10 @@ all pairs. Classes are therefore met by exact keys first: 64 bits in near + 2 bl
 At scale: shuffled are narrow rows (key, fingerprint, packed distances), one for each class and pair of blocks. Keys with one
 class never reach Python. A bucket is searched breadth first: a fingerprint is compared only with those not reached yet,
 and a bucket of m gives at most m - 1 links, so near copies are never expanded into pairs. A bucket of more than ``HOT`` is
-split into cells of two chunks, each a task's work of its own. Components come from alternating large and small stars,
-checkpointed each round; all of it stays in Spark, nothing but counters reaches the driver.
+met again by near + 1 pieces of its other bits, of which a link leaves one untouched: a row each, in far smaller buckets. What
+is then still larger is split into cells of two chunks, each a task's work of its own. Components come from alternating large
+and small stars over classes in the order of their least ids, so a root is its component's name; each round is checkpointed,
+its joins are plain ones, which Spark splits where a hub is large. Nothing but counters reaches the driver.
 
 Defined results: null and empty texts have fingerprint zero, linked like any other; repeated rows are in one component;
 null ids are left out when a component is named (null if it has no other); an empty table gives an empty result; extra
@@ -27,12 +29,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import reliable, text_of
+from weirflow.llm.common import reliable, text_of, unused
 
-PIVOTS, HOT, PAIRWISE, SALT = 16, 4096, 8, 4
+PIVOTS, HOT, PAIRWISE = 16, 4096, 8
 #: Hot keys up to which their table is broadcast (16 MB).
 BROADCAST_KEYS = 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -61,10 +64,10 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprint(text: Column, k: int) -> Column:
-    @F.pandas_udf("long")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield pd.Series([majority(shingle_hashes(t, k)) for t in batch], dtype="int64")
+            yield pa.array([majority(shingle_hashes(t.as_py(), k)) for t in batch], pa.int64())
 
     return of(F.coalesce(text, F.lit("")))
 
@@ -85,13 +88,24 @@ def with_pivot_table(classes: DataFrame) -> DataFrame:
     return classes.withColumns(packed)
 
 
+def pieces_of(bits: list[int], n: int) -> list[int]:
+    """Masks (signed) of n runs of the bits."""
+    masks = [sum(1 << b for b in bits[len(bits) * i // n : len(bits) * (i + 1) // n]) for i in range(n)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def block_masks(near: int) -> list[tuple[int, list[int]]]:
+    """For each pair of near + 2 blocks its mask, and the masks of near + 1 pieces of the other bits."""
+    blocks, out = pieces_of(list(range(64)), near + 2), []
+    for i, j in combinations(range(near + 2), 2):
+        both = blocks[i] | blocks[j]
+        out.append((both, pieces_of([b for b in range(64) if not both >> b & 1], near + 1)))
+    return out
+
+
 def block_keys(near: int) -> list[Column]:
     """A key for each pair of near + 2 blocks."""
-    n = near + 2
-    edges = [64 * i // n for i in range(n + 1)]
-    mask = lambda i: ((1 << edges[i + 1]) - (1 << edges[i])) & ((1 << 64) - 1)
-    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    return [F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(signed(mask(i) | mask(j))))) for t, (i, j) in enumerate(combinations(range(n), 2))]
+    return [F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(mask))) for t, (mask, _) in enumerate(block_masks(near))]
 
 
 class Bucket:
@@ -164,39 +178,44 @@ def search(buckets: DataFrame, near: int) -> DataFrame:
     return buckets.sortWithinPartitions("key").mapInPandas(searched, "a long, b long")
 
 
-def near_links(classes: DataFrame, near: int) -> DataFrame:
-    """a, b: links that connect what lies within ``near`` bits of each other (no link between components, none missing)."""
-    packed = [f"d{i}" for i in range(PIVOTS // 8)]
-    rows = with_pivot_table(classes.select("fp")).select("fp", *packed, F.explode(F.array(*block_keys(near))).alias("key"))
+def counted_hot(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of keys that hold HOT at most; those of larger ones, with the count n, or None if there are none."""
     hot = reliable(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT))
     n_hot = hot.count()
     if not n_hot:
-        normal, cells = rows, None
-    else:
-        small = n_hot <= BROADCAST_KEYS
-        hot = F.broadcast(hot) if small else hot
-        normal = rows.join(hot, "key", "left_anti")
-        chunks = rows.join(hot, "key").withColumn("chunks", F.ceil(F.col("n") / HOT).cast("int")).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+        return rows, None
+    hot = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
+    return rows.join(hot, "key", "left_anti"), rows.join(hot, "key")
+
+
+def near_links(classes: DataFrame, near: int) -> DataFrame:
+    """a, b: links that connect what lies within ``near`` bits of each other (no link between components, none missing)."""
+    packed = [f"d{i}" for i in range(PIVOTS // 8)]
+    met = lambda rows: rows.withColumn("met", F.count("*").over(Window.partitionBy("key"))).where(F.col("met") > 1)
+    rows = with_pivot_table(classes.select("fp")).select("fp", *packed, F.posexplode(F.array(*block_keys(near))).alias("pair", "key"))
+    normal, hot = counted_hot(rows)
+    links = search(met(normal).select("key", "fp", *packed), near)
+    if hot is not None:
+        masks = F.array(*[F.array(*[F.lit(m) for m in rest]) for _, rest in block_masks(near)])
+        inner = F.transform(F.get(masks, F.col("pair")), lambda mask, i: F.xxhash64("key", i, F.col("fp").bitwiseAND(mask)))
+        normal, hot = counted_hot(hot.select("fp", *packed, F.explode(inner).alias("key")))
+        links = links.union(search(met(normal).select("key", "fp", *packed), near))
+    if hot is not None:
+        chunks = hot.withColumn("chunks", F.ceil(F.col("n") / HOT).cast("int")).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
         cells = chunks.select("fp", *packed, "key", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        cells = cells.select("fp", *packed, F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"))
-    met = normal.withColumn("met", F.count("*").over(Window.partitionBy("key"))).where(F.col("met") > 1).drop("met")
-    links = search(met.select("key", "fp", *packed), near)
-    if cells is not None:
-        links = links.union(search(cells.repartition("key").select("key", "fp", *packed), near))
+        cells = cells.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "fp", *packed)
+        links = links.union(search(cells.repartition("key"), near))
     return links.distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root: the least node of every component, by alternating large and small stars."""
+    """node, root: the least node of every component, by alternating large and small stars; nodes of any type with an order."""
     edges = reliable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        # the neighbours of a hub are dealt to SALT tasks, each with a copy of the hub's least
-        dealt = both.where("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)))
-        copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-        large = dealt.join(copies, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = reliable(small)
@@ -209,11 +228,14 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, k: int = 4, near: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp (signed) and component_id (the least doc_id reachable) of every row."""
     rows = reliable(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text), k).alias("fp")))
-    classes = reliable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(near_links(classes, near))
-    named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    name = F.struct(F.col("least").isNull().alias("none"), "least", "fp")  # classes in the order of their least ids, null last
+    classes = reliable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", name.alias("name")))
+    links = near_links(classes, near)
+    named = links.join(classes.select(F.col("fp").alias("a"), F.col("name").alias("na")), "a").join(classes.select(F.col("fp").alias("b"), F.col("name").alias("nb")), "b")
+    roots = components(named.select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    owned = classes.join(roots.select(F.col("node.fp").alias("fp"), F.col("root.least").alias("component_id"), F.lit(True).alias("linked")), "fp", "left")
+    component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("name.least"))
+    return rows.join(owned.select("fp", component.alias("component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
 def digest(text: str) -> Column:
@@ -224,12 +246,13 @@ def keep_rows(docs: DataFrame, named: DataFrame, id_col: str, text: str) -> Data
     """One row of ``docs`` for each root of ``named`` (_id, _digest, root): the least id, nulls last, then the least hash of the
     text. Texts are shuffled once, to meet the rows kept; only where id and text occur more than once are they then reduced."""
     least = named.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_digest")).alias("m"))
-    kept = reliable(least.select(F.col("m._id").alias("_kid"), F.col("m._digest").alias("_kd")))
-    same = lambda i, d: F.col(i).eqNullSafe(F.col("_kid")) & (F.col(d) == F.col("_kd"))
-    found = docs.withColumn("_own", digest(text)).join(kept, same(id_col, "_own"))
+    own, kid, kept_digest = unused(docs, "own", "kept_id", "kept_digest")
+    kept = reliable(least.select(F.col("m._id").alias(kid), F.col("m._digest").alias(kept_digest)))
+    same = lambda i, d: F.col(i).eqNullSafe(F.col(kid)) & (F.col(d) == F.col(kept_digest))
+    found = docs.withColumn(own, digest(text)).join(kept, same(id_col, own))
     if named.join(kept, same("_id", "_digest")).groupBy("_id", "_digest").count().where("count > 1").isEmpty():
         return found.select(*docs.columns)
-    return found.dropDuplicates([id_col, "_own"]).select(*docs.columns)
+    return found.dropDuplicates([id_col, own]).select(*docs.columns)
 
 
 def keep_one(docs: DataFrame, *, k: int = 4, near: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
