@@ -53,3 +53,13 @@ def test_streamed_baseline_keeps_state_between_batches(spark, tmp_path):
     stream = jobs.read_files(spark, str(tmp_path / "in"), rows.schema, files_a_batch=1)
     got = {r.seq: r.normalised_score for r in jobs.drain(jobs.normalised(stream, t=small), ["seq"], "append").collect()}
     assert got == {r.seq: r.normalised_score for r in windows.with_normalised(rows, small).collect()}
+
+
+def test_streamed_bucket_equals_the_batch_one_and_keeps_state(spark, tmp_path):
+    rows = log(spark, 600).where("platform IS NOT NULL")
+    want = sorted(r.seq for r in windows.token_bucket(rows, {"reddit": 0.1, "youtube": -1.0}, burst_seconds=30).collect())
+    for at in range(0, 600, 200):
+        rows.where(F.col("seq").between(at, at + 199)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = jobs.read_files(spark, str(tmp_path / "in"), rows.schema, files_a_batch=1)
+    got = jobs.drain(jobs.throttled(stream, {"reddit": 0.1, "youtube": -1.0}, burst_seconds=30), ["seq"], "append")
+    assert sorted(r.seq for r in got.collect()) == want

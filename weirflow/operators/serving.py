@@ -123,13 +123,19 @@ def dash_timeline(rows: DataFrame, at: Column) -> DataFrame:
     return rows.groupBy(F.date_trunc("hour", at).alias("hour")).agg(F.count("*").alias("posts"), F.sum("raw_score").alias("score"))
 
 
-def dash_keywords(rows: DataFrame, keywords: Column, title: Column, n: int = 25) -> DataFrame:
-    """Stored keywords over two characters, else words of the title: over four, no stop word, no number, the first eight."""
+def dash_keywords(rows: DataFrame, keywords: Column, title: Column, n: int = 25, weights: Column | None = None) -> DataFrame:
+    """Stored keywords over two characters, else words of the title: over four, no stop word, no number, the first eight.
+    ``weights``: a map of keywords to what each counts (1 where that is 0 or null), which comes before ``keywords``."""
     stop = F.array(*map(F.lit, TITLE_STOP))
     of_title = F.slice(F.filter(F.split(F.lower(title), "\\W+"), lambda w: (F.length(w) > 4) & ~F.array_contains(stop, w) & ~w.rlike("^[0-9]+$")), 1, 8)
     stored = F.filter(keywords, lambda w: F.length(w) > 2)
-    spread = rows.select(F.explode(F.when(F.coalesce(F.size(keywords), F.lit(0)) > 0, stored).otherwise(of_title)).alias("word"))
-    return spread.groupBy("word").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "word").limit(n)
+    plain = F.when(F.coalesce(F.array_size(keywords), F.lit(0)) > 0, stored).otherwise(of_title)
+    counted = F.transform(plain, lambda w: F.struct(w.alias("word"), F.lit(1).cast("long").alias("n")))
+    if weights is not None:
+        weighed = F.transform(F.map_entries(weights), lambda e: F.struct(e["key"].alias("word"), F.coalesce(F.nullif(e["value"].cast("long"), F.lit(0).cast("long")), F.lit(1).cast("long")).alias("n")))
+        counted = F.when(weights.isNotNull(), F.filter(weighed, lambda e: F.length(e["word"]) > 2)).otherwise(counted)
+    spread = rows.select(F.inline(counted))
+    return spread.groupBy("word").agg(F.sum("n").alias("count")).orderBy(F.desc("count"), "word").limit(n)
 
 
 def dash_top(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What a signal keeps from its first observation, takes from its last, and takes from the last that has it.
@@ -52,11 +54,35 @@ def retained(rows: DataFrame, now: Column, days: int = 90, at: str = "captured_a
     return rows.where(F.col(at) >= now - F.make_dt_interval(F.lit(days)))
 
 
-def with_surrogates(names: DataFrame, existing: DataFrame, columns: tuple[str, ...] = ("platform", "name")) -> DataFrame:
-    """The dimension with new members added; numbers go on from the highest there is. New members alone are numbered."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; one of this machine's only where the executors are threads of it."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if place is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return place or tempfile.mkdtemp(prefix="spark-shared-")
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """``rows`` computed once, for several readers, in the folder that all executors share."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(rows.sparkSession))
+    return rows.checkpoint()
+
+
+def with_surrogates(names: DataFrame, existing: DataFrame, columns: tuple[str, ...] = ("platform", "name"), prefix: int = 2) -> DataFrame:
+    """The dimension with new members added; numbers go on from the highest there is. New members alone are numbered: by counts
+    of the first characters of the last column, then inside these, so no task holds all of them."""
     new = names.select(*columns).distinct().join(existing.select(*columns), list(columns), "left_anti")
     start = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    numbered = new.withColumn("id", (F.row_number().over(Window.orderBy(*columns)) + start).cast("int"))
+    part = [*columns[:-1], "_head"]
+    headed = new.withColumn("_head", F.substring(columns[-1], 1, prefix))
+    counts = headed.groupBy(*part).agg(F.count("*").alias("_n"))  # as many rows as there are heads
+    before = F.sum("_n").over(Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1))
+    heads = counts.select(*[F.col(c).alias(f"_of_{c}") for c in part], F.coalesce(before, F.lit(0)).alias("_before"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in part]
+    rank = F.row_number().over(Window.partitionBy(*part).orderBy(*columns))
+    numbered = headed.withColumn("_rank", rank).join(heads, same).withColumn("id", (F.col("_before") + F.col("_rank") + start).cast("int"))
     return existing.select("id", *columns).unionByName(numbered.select("id", *columns))
 
 

@@ -50,8 +50,13 @@ def with_normalised_blocked(obs: DataFrame, t: Thresholds = DEFAULTS, *, block:
     own = F.floor(F.col("_at") / block)
     blocks = F.when(F.col("_at") % block >= block - t.window_rows, F.array(own, own + 1)).otherwise(F.array(own))
     copied = numbered.withColumn("_own", own).withColumn("_block", F.explode(blocks))
-    w = Window.partitionBy("platform", "_block").orderBy("_at").rowsBetween(-t.window_rows, -1)
-    scored = _baseline(copied, w, t).where(F.col("_block") == F.col("_own")).withColumn("normalised_score", normalised_score(F.col("raw_score"), F.col("baseline")))
+    # a frame's sum is the difference of two running sums, so a row costs the same whatever ``window_rows`` is
+    w = Window.partitionBy("platform", "_block").orderBy("_at")
+    summed = copied.withColumn("_sum", F.coalesce(F.sum("raw_score").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    summed = summed.withColumn("_sum", F.col("_sum") - F.coalesce(F.lag("_sum", t.window_rows).over(w), F.lit(0))).where(F.col("_block") == F.col("_own"))
+    n = F.least(F.col("_at"), F.lit(t.window_rows))
+    baseline = F.when(n >= t.least_samples, F.col("_sum") / n).otherwise(fallback_baseline(F.col("platform"), t))
+    scored = summed.withColumn("normalised_score", normalised_score(F.col("raw_score"), baseline))
     flat = rows.where("raw_score <= 0 OR raw_score IS NULL").withColumn("normalised_score", F.lit(0.0))
     return scored.select(*obs.columns, "normalised_score").unionByName(flat.select(*obs.columns, "normalised_score"))
 

@@ -160,8 +160,9 @@ def posts_current(spark, d):
 
 @query("SELECT id, CASE WHEN source_id::BIGINT % 4 <> 0 THEN 0.5 ELSE sentiment_compound END::DOUBLE AS sentiment_compound FROM cur", *f.CURRENT)
 def nlp_update(spark, d):
-    new = f.nlp(spark, d).select(F.col("post_id").alias("id"), F.lit(0.5).alias("sentiment_compound"))
-    return state.set_features(f.current(spark, d).select("id", "sentiment_compound"), new, ("sentiment_compound",))
+    c = state.kept(f.current(spark, d))
+    new = f.nlp_of(c).select(F.col("post_id").alias("id"), F.lit(0.5).alias("sentiment_compound"))
+    return state.set_features(c.select("id", "sentiment_compound"), new, ("sentiment_compound",))
 
 
 @query("SELECT id, seq, raw_score, round(score_velocity, 6) AS score_velocity, trending_score FROM enr WHERE score_velocity <> 0 OR comment_velocity <> 0", *f.ENRICHED)
@@ -239,9 +240,13 @@ def seed_topics(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(words.seed_topics(F.col("text"), TERMS), ",").alias("topics"))
 
 
-@query()
+#: Words of the given tables' prose with a valence, next to the small English lexicon.
+VALENCES = {**words.LEXICON, "with": 1.3, "this": 2.2, "was": -1.7, "und": 0.9, "les": -0.6}
+
+
+@query(words.sentiment_sql(VALENCES))
 def sentiment(spark, d):
-    score = words.sentiment(words.title_else_body(F.lit(""), F.col("text")))
+    score = words.sentiment(words.title_else_body(F.lit(""), F.col("text")), VALENCES)
     return table(spark, d, "documents").select("doc_id", score.alias("sentiment_compound")).withColumn("sentiment_label", scoring.sentiment_label(F.col("sentiment_compound")))
 
 
@@ -420,7 +425,7 @@ def dim_posts(spark, d):
   LEFT JOIN nation ON n_nationkey = subreddit_id""", *f.STAGED)
 def dim_subreddits(spark, d):
     names = communities(spark, d).select(F.col("community_id").alias("id"), F.col("community").alias("name"))
-    rows = marts.dim_subreddits(f.stg_posts(spark, d), f.stg_nlp(spark, d), names, subreddit_config(spark, d))
+    rows = marts.dim_subreddits(*f.staged(spark, d), names, subreddit_config(spark, d))
     return rows.select("subreddit_id", "subreddit_name", "is_actively_polled", "poll_interval_seconds", "total_posts", "trending_posts", "trending_rate_pct", F.round("avg_score", 4).alias("avg_score"), "peak_score", F.round("avg_score_velocity", 4).alias("avg_score_velocity"), f.text("last_activity_at").alias("last_activity_at"), F.round("avg_sentiment_score", 4).alias("avg_sentiment_score"), "dominant_sentiment", "positive_posts", "negative_posts", "neutral_posts", "signal_tier")
 
 
@@ -436,14 +441,14 @@ def flat_hourly(rows):
 
 @query(HOURLY + " GROUP BY recorded_hour, subreddit_id", *f.STAGED)
 def fct_hourly_engagement(spark, d):
-    return flat_hourly(marts.fct_hourly_engagement(f.stg_history(spark, d), f.stg_posts(spark, d), f.stg_nlp(spark, d)))
+    return flat_hourly(marts.fct_hourly_engagement(f.stg_history(spark, d), *f.staged(spark, d)))
 
 
 @query(HOURLY + " GROUP BY recorded_hour, subreddit_id", *f.STAGED)
 def fct_hourly_incremental(spark, d):
     """The table as of a day ago, then its recent hours computed again and merged."""
     start = F.date_trunc("hour", as_of(spark, d) - serving.hours(24))
-    history, posts, nlp = f.stg_history(spark, d), f.stg_posts(spark, d), f.stg_nlp(spark, d)
+    history, (posts, nlp) = f.stg_history(spark, d), f.staged(spark, d)
     old = marts.fct_hourly_engagement(history.where(F.col("recorded_at") < start + serving.hours(2)), posts, nlp)
     return flat_hourly(state.merge_rows(old, marts.fct_hourly_engagement(history, posts, nlp, start), ["recorded_hour", "subreddit_id"]))
 
@@ -542,6 +547,21 @@ def dash_top(spark, d):
     return serving.dash_top(serving.with_feed_columns(f.current(spark, d), as_of(spark, d), "first_seen_at"))
 
 
+@query(r"""SELECT word, sum(n)::BIGINT AS count FROM (SELECT unnest(topics) AS word, 1 AS n FROM obs WHERE seq % 3 = 0 UNION ALL SELECT topics[1], CASE WHEN comment_count = 0 THEN 1 ELSE comment_count END FROM obs WHERE seq % 3 = 1
+  UNION ALL SELECT w, 1 FROM (SELECT unnest(list_filter(regexp_split_to_array(author || ' ' || platform, '\W+'), lambda x: length(x) > 4 AND NOT regexp_full_match(x, '[0-9]+'))[1:8]) AS w FROM obs WHERE seq % 3 = 2)) GROUP BY word ORDER BY count DESC, word LIMIT 25""")
+def dash_keywords_stored(spark, d):
+    """Arrays on a third of the rows, weighted keywords on another, none on the rest."""
+    o, turn = observations(spark, d), F.col("seq") % 3
+    weights = F.when(turn == 1, F.map_from_arrays(F.array(F.get("topics", 0)), F.array("comment_count")))
+    return serving.dash_keywords(o, F.when(turn == 0, F.col("topics")), F.concat_ws(" ", "author", "platform"), weights=weights)
+
+
+@query(f"SELECT id, {at('last_updated_at')} AS last_updated_at FROM cur, now WHERE last_updated_at >= t - INTERVAL 5 DAY AND len(topics) > 0 ORDER BY cur.last_updated_at, id LIMIT 5000", *f.CURRENT)
+def enriched_since(spark, d):
+    rows = ops.enriched_since(f.current(spark, d), as_of(spark, d) - serving.hours(120))
+    return rows.select("id", f.text("last_updated_at").alias("last_updated_at"))
+
+
 # Operations.
 
 
@@ -594,7 +614,7 @@ def archive_days(spark, d):
 
 @query(f"SELECT post_id, {at('captured_at')} AS time, h.score::INTEGER AS score, h.num_comments::INTEGER AS num_comments, is_trending, sentiment_label, strftime(captured_at, '%Y') AS year, strftime(captured_at, '%m') AS month, strftime(captured_at, '%d') AS day FROM (SELECT id AS post_id, captured_at, raw_score AS score, comment_count AS num_comments FROM obs) h JOIN (SELECT post_id, is_trending FROM sp) USING (post_id) LEFT JOIN sn USING (post_id)", *f.STAGED)
 def archive_rows(spark, d):
-    rows = ops.archive_rows(f.post_history(spark, d), f.stg_posts(spark, d), f.stg_nlp(spark, d))
+    rows = ops.archive_rows(f.post_history(spark, d), *f.staged(spark, d))
     return rows.select("post_id", f.text("time").alias("time"), "score", "num_comments", "is_trending", "sentiment_label", "year", "month", "day")
 
 
@@ -628,6 +648,25 @@ def stream_velocity(spark, d):
     return rows.withColumns({c: F.round(c, 6) for c in ("score_velocity", "comment_velocity")})
 
 
+@query(f"SELECT topic, {at('start')} AS start, count(*) AS signals, count(DISTINCT platform) AS platforms FROM (SELECT topic, platform, time_bucket(INTERVAL 15 MINUTE, captured_at) - k * INTERVAL 15 MINUTE AS start FROM ex, range(8) r(k)) GROUP BY ALL", *f.ENRICHED, f.SPREAD)
+def stream_sliding_topics(spark, d):
+    rows = jobs.drain(jobs.sliding_topics(event_stream(spark, d), "60 days").select("topic", "w.start", "signals", "platforms"), ["topic", "start"])
+    return rows.select("topic", f.text("start").alias("start"), "signals", "platforms")
+
+
+@query()
+def stream_token_bucket(spark, d):
+    return jobs.drain(jobs.throttled(event_stream(spark, d), {"reddit": 0.0005, "hackernews": 0.001, "youtube": -1.0}, "60 days"), ["seq"], "append").select("seq", "platform")
+
+
+@query("SELECT list, count(*) AS messages, min(seq)::BIGINT AS first, max(seq)::BIGINT AS last FROM (SELECT CASE platform WHEN 'reddit' THEN 'raw' WHEN 'youtube' THEN 'refresh' ELSE 'signals' END AS list, seq FROM obs WHERE platform <> 'other') GROUP BY list")
+def stream_routed(spark, d):
+    """Messages of three topics, dealt into their work lists; other topics are left."""
+    topic = F.element_at(F.create_map(*[F.lit(x) for pair in (("reddit", "posts.raw"), ("youtube", "posts.refresh"), ("hackernews", "signals"), ("bluesky", "signals"), ("other", "elsewhere")) for x in pair]), F.col("platform"))
+    lists = jobs.drain(jobs.routed(event_stream(spark, d).withColumn("topic", topic), {"posts.raw": "raw", "posts.refresh": "refresh", "signals": "signals"}), ["seq"], "append")
+    return lists.groupBy("list").agg(F.count("*").alias("messages"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+
+
 @query("SELECT DISTINCT id FROM obs")
 def stream_dedup(spark, d):
     return jobs.drain(jobs.without_repeats(event_stream(spark, d), ["id"], "60 days"), ["id"], "append").select("id")

@@ -24,9 +24,12 @@ def current(spark: SparkSession, d: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, d: str) -> DataFrame:
+    return posts_of(current(spark, d))
+
+
+def posts_of(c: DataFrame) -> DataFrame:
     """Posts of the older layer, from the current state (velocities 0 where never stored)."""
     n = F.col("source_id").cast("long")
-    c = current(spark, d)
     return c.select(
         "id", F.col("community_id").alias("subreddit_id"), "title", "author", F.col("first_seen_at").alias("created_utc"), "first_seen_at", F.col("last_updated_at").alias("last_polled_at"),
         F.col("raw_score").alias("current_score"), F.col("comment_count").alias("current_comments"), ((n % 100) / F.lit(100.0)).alias("current_ratio"), (n % 10 != 0).alias("is_active"),
@@ -36,8 +39,12 @@ def posts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nlp(spark: SparkSession, d: str) -> DataFrame:
+    return nlp_of(current(spark, d))
+
+
+def nlp_of(c: DataFrame) -> DataFrame:
     n = F.col("source_id").cast("long")
-    return current(spark, d).where(n % 4 != 0).select(F.col("id").alias("post_id"), F.col("sentiment_compound").alias("sentiment_score"), F.col("topics").alias("keywords"), (n % 7).cast("int").alias("topic_cluster"))
+    return c.where(n % 4 != 0).select(F.col("id").alias("post_id"), F.col("sentiment_compound").alias("sentiment_score"), F.col("topics").alias("keywords"), (n % 7).cast("int").alias("topic_cluster"))
 
 
 def post_history(spark: SparkSession, d: str) -> DataFrame:
@@ -56,8 +63,14 @@ def stg_history(spark: SparkSession, d: str) -> DataFrame:
     return marts.stg_metrics_history(post_history(spark, d))
 
 
+def staged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Staged posts and features, of a current state that is folded once for both."""
+    c = state.kept(current(spark, d))
+    return marts.stg_posts(posts_of(c), as_of(spark, d)), marts.stg_nlp_features(nlp_of(c))
+
+
 def dim_posts(spark: SparkSession, d: str) -> DataFrame:
-    return marts.dim_posts(stg_posts(spark, d), stg_nlp(spark, d))
+    return marts.dim_posts(*staged(spark, d))
 
 
 def lifecycle(spark: SparkSession, d: str) -> DataFrame:

@@ -37,7 +37,8 @@ def as_observations(e: DataFrame) -> DataFrame:
 
 def as_of(spark: SparkSession, sf_dir: str):
     """The last time in the log, as a literal: what windows of time end at."""
-    return F.lit(observations(spark, sf_dir).agg(F.max("captured_at")).first()[0])
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return F.lit(table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0])
 
 
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:

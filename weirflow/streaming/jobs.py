@@ -1,8 +1,8 @@
-"""The same operators on streams: sources, windowed buckets, keyed velocity, rolling baselines, de-duplication, two sinks a batch."""
+"""The same operators on streams: sources, routing by topic, windowed buckets, keyed velocity, rolling baselines, token buckets,
+de-duplication, two sinks a batch."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from weirflow.config import DEFAULTS, Thresholds
 from weirflow.functions.scoring import fallback_baseline, normalised_score
+from weirflow.operators.state import shared_folder
 from weirflow.operators.topics import exploded
 
 
@@ -40,8 +41,8 @@ def topic_windows(rows: DataFrame, late: str = "2 hours", minutes: int = 15, at:
 
 
 def sliding_topics(rows: DataFrame, late: str = "2 hours", width: str = "2 hours", step: str = "15 minutes", at: str = "captured_at") -> DataFrame:
-    """Signals and platforms (approximate count) of a topic over a sliding look-back."""
-    return exploded(rows.withWatermark(at, late)).groupBy("topic", F.window(at, width, step).alias("w")).agg(F.count("*").alias("signals"), F.approx_count_distinct("platform").alias("platforms"))
+    """Signals and platforms of a topic over a sliding look-back; the few platforms are counted exactly, as a set."""
+    return exploded(rows.withWatermark(at, late)).groupBy("topic", F.window(at, width, step).alias("w")).agg(F.count("*").alias("signals"), F.size(F.collect_set("platform")).cast("long").alias("platforms"))
 
 
 def hourly(rows: DataFrame, key: str, late: str = "4 hours", at: str = "captured_at") -> DataFrame:
@@ -102,6 +103,37 @@ def normalised(rows: DataFrame, late: str = "25 hours", t: Thresholds = DEFAULTS
     return told.select("seq", "platform", F.coalesce(score, F.lit(0.0)).alias("normalised_score"))
 
 
+def throttled(rows: DataFrame, rates: dict[str, float], late: str = "25 hours", burst_seconds: float = 3.0) -> DataFrame:
+    """Rows that a bucket of each platform lets through, with its tokens and last time as state; inside a batch by (time, seq).
+    No rate or a negative one lets all through, without state. A row older than the state refills nothing."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rate = rates[key[0]]
+        size = max(1.0, rate * burst_seconds)
+        part = pd.concat(list(parts)).sort_values(["captured_at", "seq"])
+        times = part["captured_at"].astype("datetime64[ns]").astype("int64") / 1e9
+        tokens, last = state.get if state.exists else (size, float(times.iloc[0]))
+        kept = []
+        for at in times:
+            tokens = min(size, tokens + rate * max(0.0, at - last))
+            last = max(last, at)
+            kept.append(tokens >= 1)
+            tokens -= kept[-1]
+        state.update((tokens, last))
+        yield pd.DataFrame({"seq": part["seq"][kept], "platform": key[0]})
+
+    source = rows.select("seq", "platform", "captured_at").withWatermark("captured_at", late)
+    metered = F.coalesce(F.col("platform").isin([p for p, rate in rates.items() if rate >= 0]), F.lit(False))
+    held = source.where(metered).groupBy("platform").applyInPandasWithState(step, "seq long, platform string", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+    return held.unionByName(source.where(~metered).select("seq", "platform"))
+
+
+def routed(messages: DataFrame, lists: dict[str, str], topic: str = "topic") -> DataFrame:
+    """Messages with the name of the work list of their topic; those of no listed topic are left out."""
+    pairs = F.create_map(*[F.lit(x) for pair in lists.items() for x in pair])
+    return messages.withColumn("list", F.element_at(pairs, F.col(topic))).where(F.col("list").isNotNull())
+
+
 def two_sinks(batch: Callable[[DataFrame, int], None], push: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """One micro-batch, computed once, to the store and to the live channel; both see the batch's number, so a rerun of
     the batch replaces what it wrote."""
@@ -119,7 +151,7 @@ def two_sinks(batch: Callable[[DataFrame, int], None], push: Callable[[DataFrame
 
 def scratch(spark: SparkSession) -> str:
     """A new folder in the place all executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame, keys: list[str], mode: str = "update", partitions: int | None = None) -> DataFrame:
