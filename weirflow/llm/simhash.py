@@ -235,7 +235,8 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, near: int = 4, id_col: str =
     roots = components(named.select(F.col("na").alias("a"), F.col("nb").alias("b")))
     owned = classes.join(roots.select(F.col("node.fp").alias("fp"), F.col("root.least").alias("component_id"), F.lit(True).alias("linked")), "fp", "left")
     component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("name.least"))
-    return rows.join(owned.select("fp", component.alias("component_id")), "fp").select("doc_id", "fp", "component_id")
+    owned = reliable(owned.select("fp", component.alias("component_id")))  # read by itself, the join can split a fingerprint of many copies
+    return rows.join(owned, "fp").select("doc_id", "fp", "component_id")
 
 
 def digest(text: str) -> Column:
