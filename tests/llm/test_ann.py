@@ -45,3 +45,28 @@ def test_few_rows(spark):
     assert nearest(spark.createDataFrame([(0, [1.0, 0.0])], schema), F.col("vec_id") % 50 == 0).collect() == []
     rows = nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], schema), F.col("vec_id") % 50 == 0).collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in rows] == [(0, 1, 1)]
+
+
+def test_cells_against_brute_force_with_a_vector_that_many_rows_share(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 16))
+    rows = [(i, (centres[i % 12] + 0.15 * rng.standard_normal(16)).tolist()) for i in range(600)] + [(i, centres[0].tolist()) for i in range(600, 900)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, lambda v: v % 20 == 0)
+    got = {}
+    for r in nearest(table, F.col("vec_id") % 20 == 0, 5, block_rows=24, query_rows=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got.keys() == want.keys() and all(len(v) == 5 for v in got.values())
+    hits = sum(len({a for a, _ in want[q]} & set(got[q])) for q in want)
+    assert hits >= 0.95 * 5 * len(want)
+    assert all(got[q] == [a for a, _ in want[q]] for q in got if q >= 600)
+
+
+def test_trees_tell_every_point_a_cell():
+    from weirflow.llm.ann import cell_of, cut
+
+    points = np.vstack([np.random.default_rng(2).standard_normal((500, 4)), np.ones((300, 4))])
+    cells = cell_of(points, cut(points, 20))
+    assert len(set(cells.tolist())) > 10 and set(cells.tolist()) == set(range(cells.max() + 1))
+    assert len(set(cells[500:].tolist())) == 1
+    assert set(cell_of(points[:3], cut(points[:1], 20)).tolist()) == {0}

@@ -5,10 +5,13 @@ over d squared follows a chi-square law with ``dims`` degrees. The index is a kd
 its leaves by their distance in the projection and verifies the points in them by their true distance, until the next leaf
 lies so far off that, at confidence ``p``, no closer point than the k-th found can lie there or beyond.
 
-At scale: all vectors are indexed, in blocks dealt by a hash of the id; each task builds the tree of one block and answers
-one block of queries, so a task's memory is bounded by both block sizes and no side is broadcast. A bounded sample of
-reference vectors (``SAMPLE`` rows) gives each query a first bound on its k-th distance, so that every block's search stops
-early. The blocks' answers are ranked per query, k at most from each block.
+At scale: a first kd-tree, over the projections of a bounded sample of the rows (about ``SAMPLE``, taken by a hash of the id),
+cuts the projected space into cells; all vectors are dealt by cell, large cells in chunks, and each chunk's own tree is built
+once for all queries that come to it, in a task that holds one chunk and streams its queries. A query first searches the cell
+it lies in, which bounds its k-th distance, and then goes only to those cells whose box the stopping test still reaches. Cells
+that many queries reach are handed to several tasks. Of equal vectors only the k + 1 of least id can be an answer, so others
+are no candidates: a vector that a third of the rows share costs no more than any other. Nothing but the sample's
+projections passes through the driver.
 
 Scores are exact cosines in double precision of the original vectors, summed alike for every row, so equal vectors tie
 exactly; ties go to the smaller id, and all ties at the k-th score of a block are ranked before it is cut.
@@ -27,8 +30,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE, LEAF = 4096, 32
+from weirflow.llm.common import reliable
+
+SAMPLE, LEAF = 16384, 32
+#: Sampled points a cell has at least; a chunk's bytes and rows at most and its rows at least; rows of a cell table that is broadcast.
+CELL_SAMPLE, BLOCK_BYTES, BLOCK_ROWS, LEAST_ROWS, SMALL = 8, 64_000_000, 131_072, 2048, 16_384
 EPS = 1e-9
+FOUND = "query_id long, vec_id long, score double"
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -70,36 +78,66 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
-def search_block(data: pd.DataFrame, queries: pd.DataFrame, k: int, dims: int, p: float, seed: int) -> pd.DataFrame:
-    """The k best of a block for each query, ties at the k-th score included before the cut."""
-    vectors, asked = matrix(data["embedding"]), matrix(queries["embedding"])
-    ids, asked_ids, bounds = data["vec_id"].to_numpy(), queries["vec_id"].to_numpy(), queries["bound"].to_numpy(dtype=np.float64)
-    units, directions, limit = unit(vectors), projection(vectors.shape[1], dims, seed), chi_square_quantile(p, dims)
-    order, starts, low, high = leaves_of(units @ directions)
-    ends = np.append(starts[1:], len(order))
-    asked_units = unit(asked)
-    shadows = asked_units @ directions
-    found = []
-    for q in range(len(asked)):
-        gap = np.maximum(np.maximum(low - shadows[q], shadows[q] - high), 0.0)
-        away = (gap * gap).sum(axis=1)
-        by = away.argsort(kind="stable")
-        kth, best, places, at = bounds[q], np.empty(0), np.empty(0, dtype=np.int64), 0
-        while at < len(by) and away[by[at]] <= limit * (2 - 2 * kth) + EPS:
-            step = by[at : at + 8]
-            at += len(step)
-            rows = np.concatenate([order[starts[x] : ends[x]] for x in step])
-            rows = rows[ids[rows] != asked_ids[q]]
-            near = units[rows] @ asked_units[q]
-            best, places = np.concatenate([best, near]), np.concatenate([places, rows])
-            if len(best) >= k:
-                kth = max(kth, np.partition(best, len(best) - k)[len(best) - k])
-                keep = best >= kth - EPS
-                best, places = best[keep], places[keep]
-        score = cosines(asked[q], vectors[places])
-        top = np.lexsort((ids[places], -score))[:k]
-        found.append(pd.DataFrame({"query_id": asked_ids[q], "vec_id": ids[places[top]], "score": score[top]}))
-    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+class Block:
+    """The candidates of one chunk and their kd-tree."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, dims: int, seed: int):
+        self.ids, self.vectors, self.units = ids, vectors, unit(vectors)
+        self.directions = projection(vectors.shape[1], dims, seed)
+        self.order, self.starts, self.low, self.high = leaves_of(self.units @ self.directions)
+        self.ends = np.append(self.starts[1:], len(self.order))
+
+    def search(self, asked_ids: np.ndarray, asked: np.ndarray, bounds: np.ndarray, k: int, limit: float) -> pd.DataFrame:
+        """The k best of the chunk for each query, ties at the k-th score included before the cut."""
+        asked_units = unit(asked)
+        shadows = asked_units @ self.directions
+        found = []
+        for q in range(len(asked)):
+            gap = np.maximum(np.maximum(self.low - shadows[q], shadows[q] - self.high), 0.0)
+            away = (gap * gap).sum(axis=1)
+            by = away.argsort(kind="stable")
+            kth, best, places, at = bounds[q], np.empty(0), np.empty(0, dtype=np.int64), 0
+            while at < len(by) and away[by[at]] <= limit * (2 - 2 * kth) + EPS:
+                step = by[at : at + 8]
+                at += len(step)
+                rows = np.concatenate([self.order[self.starts[x] : self.ends[x]] for x in step])
+                rows = rows[self.ids[rows] != asked_ids[q]]
+                near = self.units[rows] @ asked_units[q]
+                best, places = np.concatenate([best, near]), np.concatenate([places, rows])
+                if len(best) >= k:
+                    kth = max(kth, np.partition(best, len(best) - k)[len(best) - k])
+                    keep = best >= kth - EPS
+                    best, places = best[keep], places[keep]
+            score = cosines(asked[q], self.vectors[places])
+            top = np.lexsort((self.ids[places], -score))[:k]
+            found.append(pd.DataFrame({"query_id": asked_ids[q], "vec_id": self.ids[places[top]], "score": score[top]}))
+        return pd.concat(found)
+
+
+def cut(points: np.ndarray, least: int) -> np.ndarray:
+    """A kd-tree's splits, a row each: axis, value, the rows of its lower and upper part. A leaf has axis -1 and its cell."""
+    splits, cells, stack = [[-1.0, 0.0, 0.0, 0.0]], 0, [(0, points)]
+    while stack:
+        at, part = stack.pop()
+        axis = int(np.ptp(part, axis=0).argmax()) if len(part) else 0
+        value = np.median(part[:, axis]) if len(part) >= 2 * least else np.nan
+        upper = part[:, axis] >= value
+        if upper.all() or not upper.any():
+            splits[at][1], cells = float(cells), cells + 1
+            continue
+        splits[at] = [float(axis), float(value), float(len(splits)), float(len(splits) + 1)]
+        stack += [(len(splits) + 1, part[upper]), (len(splits), part[~upper])]
+        splits += [[-1.0, 0.0, 0.0, 0.0], [-1.0, 0.0, 0.0, 0.0]]
+    return np.array(splits)
+
+
+def cell_of(points: np.ndarray, splits: np.ndarray) -> np.ndarray:
+    at = np.zeros(len(points), dtype=np.int64)
+    while (inner := np.flatnonzero(splits[at, 0] >= 0)).size:
+        node = splits[at[inner]]
+        upper = points[inner, node[:, 0].astype(np.int64)] >= node[:, 1]
+        at[inner] = np.where(upper, node[:, 3], node[:, 2]).astype(np.int64)
+    return splits[at, 1].astype(np.int64)
 
 
 def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -107,42 +145,100 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     v = F.col(vector)
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(id_col).alias("vec_id"), v.alias("embedding")).where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
-    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-
-
-def with_bounds(queries: DataFrame, sample: DataFrame, k: int) -> DataFrame:
-    """Each query's k-th best cosine among at most SAMPLE reference vectors (-1 where there are fewer than k)."""
-    refs = sample.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    by_length = {n: (part["vec_id"].to_numpy(), unit(matrix(part["embedding"]))) for n, part in refs.groupby(refs["embedding"].map(len))}
-
-    @F.pandas_udf("double")
-    def bound(ids: pd.Series, vectors: pd.Series) -> pd.Series:
-        out = []
-        for i, v in zip(ids, vectors, strict=True):
-            ref = by_length.get(len(v))
-            near = np.empty(0) if ref is None else (ref[1] @ unit(np.asarray(v, dtype=np.float64)[None])[0])[ref[0] != i]
-            out.append(np.partition(near, len(near) - k)[len(near) - k] if len(near) >= k else -1.0)
-        return pd.Series(out, dtype="float64")
-
-    return queries.withColumn("bound", bound("vec_id", "embedding"))
+    return rows.groupBy("vec_id").agg(F.min("embedding").cast("array<double>").alias("embedding"))
+
+
+def projected(rows: DataFrame, dims: int, seed: int) -> DataFrame:
+    """The rows with the length of their vectors and the projection of their unit vectors."""
+
+    @F.pandas_udf("array<double>")
+    def shadow(vectors: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(vectors), dtype=object)
+        for length, part in vectors.groupby(vectors.map(len)):
+            points = unit(matrix(part)) @ projection(length, dims, seed)
+            for i, point in zip(part.index, points, strict=True):
+                out.at[i] = point
+        return out
+
+    return rows.withColumn("length", F.size("embedding")).withColumn("shadow", shadow("embedding"))
+
+
+def with_cells(rows: DataFrame, n: int, block_rows: int) -> DataFrame:
+    """The rows with the cell of their projection, by trees over a sample; a length that is not in the sample is one cell."""
+    share = max(1, n // SAMPLE)
+    sampled = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(share)) == 0).select("vec_id", "length", "shadow").orderBy("vec_id").limit(4 * SAMPLE).toPandas()
+    least = max(CELL_SAMPLE, round(block_rows * len(sampled) / max(1, n)))
+    trees = {length: cut(matrix(part), least) for length, part in sampled.groupby("length")["shadow"]}
+
+    @F.pandas_udf("long")
+    def cell(lengths: pd.Series, shadows: pd.Series) -> pd.Series:
+        out = pd.Series(0, index=lengths.index, dtype="int64")
+        for length, part in shadows.groupby(lengths):
+            if length in trees:
+                out[part.index] = cell_of(matrix(part), trees[length])
+        return out
+
+    return rows.withColumn("cell", cell("length", "shadow"))
+
+
+def small(cells: DataFrame) -> DataFrame:
+    """A table of cells, to be broadcast where it is counted small (where not, lengths are many and keys spread)."""
+    return F.broadcast(cells) if cells.count() <= SMALL else cells
+
+
+def searched(data: DataFrame, routes: DataFrame, boxes: DataFrame, k: int, dims: int, limit: float, seed: int, block_rows: int, query_rows: int) -> DataFrame:
+    """The k best of each chunk for each query that ``routes`` (vec_id, embedding, bound, length, cell) sends to its cell."""
+    cell, block = ["length", "cell"], ["length", "cell", "chunk", "part"]
+    visits = routes.groupBy(*cell).agg(F.count("*").alias("visits"))
+    load = reliable(boxes.join(visits, cell).select(*cell, F.ceil(F.col("n") / block_rows).alias("chunks"), F.ceil(F.col("visits") / query_rows).alias("parts")))
+    tasks = load.agg(F.sum(F.col("chunks") * F.col("parts"))).first()[0] or 1
+    load = small(load)
+    whole = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    dealt = lambda count, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(count))
+    kept = data.join(load, cell).withColumn("chunk", dealt("chunks", 1)).select(*block[:3], whole("parts").alias("part"), F.lit(0).alias("kind"), "vec_id", "embedding", F.lit(0.0).alias("bound"))
+    sent = routes.join(load, cell).withColumn("part", dealt("parts", 2)).select(*cell, whole("chunks").alias("chunk"), "part", F.lit(1).alias("kind"), "vec_id", "embedding", "bound")
+    rows = kept.unionByName(sent).repartition(min(tasks, 32_768), *block).sortWithinPartitions(*block, "kind")
+
+    def answers(frames):
+        key, held, index = None, [], None
+        for frame in frames:
+            for group, part in frame.groupby([*block, "kind"], sort=True):
+                if group[:4] != key:
+                    key, held, index = group[:4], [], None
+                ids, vectors = part["vec_id"].to_numpy(), matrix(part["embedding"])
+                if group[4] == 0:
+                    held.append((ids, vectors))
+                elif held or index:
+                    if index is None:
+                        index = Block(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]), dims, seed)
+                        held = []
+                    yield index.search(ids, vectors, part["bound"].to_numpy(), k, limit)
+
+    return rows.mapInPandas(answers, FOUND)
+
+
+def top(found: DataFrame, k: int) -> DataFrame:
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, *, dims: int = 12, p: float = 0.99, seed: int = 7, block_rows: int | None = None, query_rows: int = 4096, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 5, *, dims: int = 12, p: float = 0.99, seed: int = 7, block_rows: int | None = None, query_rows: int = 16_384, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by cosine for the rows where ``is_query`` (a column) holds."""
-    rows = usable(vectors, id_col, vector)
-    n, asked = rows.agg(F.count("*"), F.count_if(is_query)).first()
-    block_rows = block_rows or min(max(2048, n // 64), 131_072)
-    blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-asked // query_rows))
-    length = F.size("embedding")
-    data = rows.select("vec_id", "embedding", length.alias("length"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
-    queries = with_bounds(rows.where(is_query), rows, k).select("vec_id", "embedding", "bound", length.alias("length"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("query_block"))
-    key = ["length", "block", "query_block"]
-
-    def searched(data: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if data.empty or queries.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return search_block(data, queries, k, dims, p, seed)
-
-    found = data.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(searched, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = reliable(projected(usable(vectors, id_col, vector), dims, seed))
+    n, longest = rows.agg(F.count("*"), F.max("length")).first()
+    block_rows = block_rows or max(LEAST_ROWS, min(n // 64, BLOCK_ROWS, BLOCK_BYTES // (8 * (longest or 1))))
+    limit = chi_square_quantile(p, dims)
+    rows = with_cells(rows, n, block_rows)
+    equal = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    data = rows.withColumn("equal", equal).where(F.col("equal") <= k + 1).drop("equal")
+    corner = [f(F.col("shadow")[i]).alias(f"{name}{i}") for i in range(dims) for name, f in (("low", F.min), ("high", F.max))]
+    boxes = reliable(data.groupBy("length", "cell").agg(F.count("*").alias("n"), *corner))
+    queries, data = rows.where(is_query), data.drop("shadow")
+    settings = (k, dims, limit, seed, block_rows, query_rows)
+    first = reliable(top(searched(data, queries.withColumn("bound", F.lit(-1.0)), boxes, *settings), k))
+    bounds = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(-1.0)).alias("bound"))
+    bounded = queries.withColumnRenamed("cell", "home").join(bounds, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(-1.0)))
+    gaps = [F.greatest(F.col(f"low{i}") - F.col("shadow")[i], F.col("shadow")[i] - F.col(f"high{i}"), F.lit(0.0)) for i in range(dims)]
+    near = sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]) <= F.lit(limit) * (2 - 2 * F.col("bound")) + EPS
+    routes = bounded.join(small(boxes), "length").where((F.col("cell") != F.col("home")) & near).select("vec_id", "embedding", "bound", "length", "cell")
+    return top(first.drop("rank").unionByName(searched(data, routes, boxes, *settings)), k)
