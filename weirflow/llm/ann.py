@@ -91,15 +91,15 @@ class Block:
         """The k best of the chunk for each query, ties at the k-th score included before the cut."""
         asked_units = unit(asked)
         shadows = asked_units @ self.directions
-        found = []
+        queries, places_of, scores = [], [], []
         for q in range(len(asked)):
             gap = np.maximum(np.maximum(self.low - shadows[q], shadows[q] - self.high), 0.0)
             away = (gap * gap).sum(axis=1)
             by = away.argsort(kind="stable")
-            kth, best, places, at = bounds[q], np.empty(0), np.empty(0, dtype=np.int64), 0
+            kth, best, places, at, leaves = bounds[q], np.empty(0), np.empty(0, dtype=np.int64), 0, 8
             while at < len(by) and away[by[at]] <= limit * (2 - 2 * kth) + EPS:
-                step = by[at : at + 8]
-                at += len(step)
+                step = by[at : at + leaves]
+                at, leaves = at + len(step), 2 * leaves
                 rows = np.concatenate([self.order[self.starts[x] : self.ends[x]] for x in step])
                 rows = rows[self.ids[rows] != asked_ids[q]]
                 near = self.units[rows] @ asked_units[q]
@@ -108,10 +108,15 @@ class Block:
                     kth = max(kth, np.partition(best, len(best) - k)[len(best) - k])
                     keep = best >= kth - EPS
                     best, places = best[keep], places[keep]
-            score = cosines(asked[q], self.vectors[places])
-            top = np.lexsort((self.ids[places], -score))[:k]
-            found.append(pd.DataFrame({"query_id": asked_ids[q], "vec_id": self.ids[places[top]], "score": score[top]}))
-        return pd.concat(found)
+            if len(places):
+                score = cosines(asked[q], self.vectors[places])
+                top = np.lexsort((self.ids[places], -score))[:k]
+                queries.append(np.full(len(top), asked_ids[q]))
+                places_of.append(places[top])
+                scores.append(score[top])
+        if not queries:
+            return pd.DataFrame({"query_id": asked_ids[:0], "vec_id": self.ids[:0], "score": bounds[:0]})
+        return pd.DataFrame({"query_id": np.concatenate(queries), "vec_id": self.ids[np.concatenate(places_of)], "score": np.concatenate(scores)})
 
 
 def cut(points: np.ndarray, least: int) -> np.ndarray:
@@ -145,7 +150,7 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     v = F.col(vector)
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(id_col).alias("vec_id"), v.alias("embedding")).where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
-    return rows.groupBy("vec_id").agg(F.min("embedding").cast("array<double>").alias("embedding"))
+    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 def projected(rows: DataFrame, dims: int, seed: int) -> DataFrame:
@@ -230,7 +235,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, *, dims: int = 12, p: floa
     limit = chi_square_quantile(p, dims)
     rows = with_cells(rows, n, block_rows)
     equal = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    data = rows.withColumn("equal", equal).where(F.col("equal") <= k + 1).drop("equal")
+    data = reliable(rows.withColumn("equal", equal).where(F.col("equal") <= k + 1).drop("equal"))
     corner = [f(F.col("shadow")[i]).alias(f"{name}{i}") for i in range(dims) for name, f in (("low", F.min), ("high", F.max))]
     boxes = reliable(data.groupBy("length", "cell").agg(F.count("*").alias("n"), *corner))
     queries, data = rows.where(is_query), data.drop("shadow")
