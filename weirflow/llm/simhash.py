@@ -209,14 +209,16 @@ def near_links(classes: DataFrame, near: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root: the least node of every component, by alternating large and small stars; nodes of any type with an order."""
+    """node, root: the least node of every component, by alternating large and small stars; nodes of any type with an order.
+
+    Least neighbours are written before they are joined: each join then reads two plain exchanges, and Spark splits a hub."""
     edges = reliable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = reliable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = reliable(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        root = reliable(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(root, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = reliable(small)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
