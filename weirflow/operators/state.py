@@ -70,22 +70,6 @@ def kept(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
-def with_surrogates(names: DataFrame, existing: DataFrame, columns: tuple[str, ...] = ("platform", "name"), prefix: int = 2) -> DataFrame:
-    """The dimension with new members added; numbers go on from the highest there is. New members alone are numbered: by counts
-    of the first characters of the last column, then inside these, so no task holds all of them."""
-    new = names.select(*columns).distinct().join(existing.select(*columns), list(columns), "left_anti")
-    start = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    part = [*columns[:-1], "_head"]
-    headed = new.withColumn("_head", F.substring(columns[-1], 1, prefix))
-    counts = headed.groupBy(*part).agg(F.count("*").alias("_n"))  # as many rows as there are heads
-    before = F.sum("_n").over(Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1))
-    heads = counts.select(*[F.col(c).alias(f"_of_{c}") for c in part], F.coalesce(before, F.lit(0)).alias("_before"))
-    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in part]
-    rank = F.row_number().over(Window.partitionBy(*part).orderBy(*columns))
-    numbered = headed.withColumn("_rank", rank).join(heads, same).withColumn("id", (F.col("_before") + F.col("_rank") + start).cast("int"))
-    return existing.select("id", *columns).unionByName(numbered.select("id", *columns))
-
-
 def write_history(rows: DataFrame, path: str) -> None:
     """Append snapshots, partitioned by UTC day."""
     rows.withColumn("captured_date", F.to_date("captured_at")).write.mode("append").partitionBy("captured_date").parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.functions import scoring, text as words
-from weirflow.operators import marts, ops, serving, state, topics, windows
+from weirflow.operators import marts, numbering, ops, serving, state, topics, windows
 from weirflow.plans import frames as f
 from weirflow.schemas import REDDIT
 from weirflow.sources import raw
@@ -181,8 +181,8 @@ def communities_dim(spark, d):
     named = observations(spark, d).join(communities(spark, d), "community_id").select("platform", F.col("community").alias("name"))
     region0 = table(spark, d, "nation").where("n_regionkey = 0").select(F.col("n_name").alias("name"))
     empty = spark.createDataFrame([], "id int, platform string, name string")
-    old = state.with_surrogates(named.join(region0, "name").select("platform", "name"), empty)
-    return state.with_surrogates(named, old)
+    old = numbering.with_surrogates(named.join(region0, "name").select("platform", "name"), empty)
+    return numbering.with_surrogates(named, old)
 
 
 # Feed.
