@@ -9,7 +9,8 @@ from weirflow.llm.queries import ORACLE_SQL, QUERIES
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_equals_its_twin(spark, sf_dir, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for table in ("documents", "embeddings", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     rows, result = QUERIES[name](spark, sf_dir), con.sql(ORACLE_SQL[name])
     columns = sorted(rows.columns)
     assert sorted(result.columns) == columns

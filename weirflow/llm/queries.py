@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import licenses, quality
+from weirflow.llm import codes, licenses, quality, trie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -88,5 +88,24 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_nearest, op4_simhash, op5_langid, op6_lm_scores, op7_quality, op8_mixing, op9_packing, op10_licenses)}
-ORACLE_SQL: dict[str, str] = {"op7_quality": quality.SQL, "op10_licenses": licenses.sql()}
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    rows = codes.with_group_total(coded, F.col("row.label"), "error", "label_error")
+    return rows.select("row.vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.books_sha256(books)).alias("codebooks_sha256"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.pieces import encode
+
+    rows = encode(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("piece_bpe_32k.model"))
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return rows.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.crc32(joined("ends")).alias("spans_crc32"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.turns_of(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return trie.prefix_trie(*trie.rebuilt(turns)).drop("position")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_nearest, op4_simhash, op5_langid, op6_lm_scores, op7_quality, op8_mixing, op9_packing, op10_licenses, op11_codes, op12_pieces, op13_trie)}
+ORACLE_SQL: dict[str, str] = {"op7_quality": quality.SQL, "op10_licenses": licenses.sql(), "op11_codes": codes.SQL, "op13_trie": trie.SQL}
