@@ -153,6 +153,37 @@ def test_feed_filters_and_latency_ranks(spark):
     assert (ranks.p50, ranks.p95, ranks.p99, ranks["count"], ranks["sum"]) == (51, 96, 100, 100, 5050)
 
 
+def test_history_tells_rows_of_one_second_apart(spark):
+    rows = log(spark, (0, "a", "reddit", 1, 0, 0.0, []), (5, "a", "reddit", 7, 0, 0.0, []), (5, "a", "reddit", 9, 0, 0.0, []), (9, "a", "reddit", 9, 0, 0.0, []))
+    moved = state.metrics_history(windows.enriched(rows)).collect()
+    assert sorted((r.seq, r.raw_score) for r in moved) == [(1, 7), (2, 9)]
+
+
+def test_percentiles_of_distinct_doubles_and_odd_metrics(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    values = [(k, (i * 7919 % n) / 7 - 20) for k, n in (("a", 1000), ("b", 1), (None, 37)) for i in range(n)] + [("a", None), ("c", None)]
+    got = {r.k: (r["count"], r.p50, r.p95, r.p99) for r in ops.latency_summary(spark.createDataFrame(values, "k string, v double"), "v", "k").collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for k in ("a", "b", None, "c"):
+        held = sorted(v for a, v in values if a == k and v is not None)
+        want = tuple(held[min(len(held) * p // 100, len(held) - 1)] if held else None for p in (50, 95, 99))
+        assert got[k] == (len([1 for a, _ in values if a == k]), *want)
+
+
+def test_quality_report_counts_rows_and_keys_in_one_pass(spark):
+    rows = log(spark, (0, "a", "reddit", 1, 0, 0.0, []), (0, "a", "x", -1, 0, 0.0, []), (0, "b", None, 5, 0, 0.0, []))
+    report = ops.quality_report(rows, {"score": F.col("raw_score") < 0, "platform": F.col("platform") == "x"}, {"ids": "id", "platforms": "platform"})
+    assert {r.rule: r.violations for r in report.collect()} == {"score": 1, "platform": 1, "ids": 1, "platforms": 0}
+    assert {r.rule: r.violations for r in ops.quality_report(rows.limit(0), {"score": F.col("raw_score") < 0}, {"ids": "id"}).collect()} == {"score": 0, "ids": 0}
+
+
+def test_dashboard_lists_keep_ties_and_unknown_values_in_order(spark):
+    rows = log(spark, *[(0, f"i{i:02d}", "reddit", 5, 0, 0.0, []) for i in range(30)]).withColumns({"score_velocity": F.when(F.col("seq") < 3, F.col("seq") * 1.0), "momentum": F.lit(None).cast("double")})
+    got = [(r.list, r.id, r.value) for r in serving.dash_top(rows).collect()]
+    assert [g[1] for g in got if g[0] == "score"] == [f"i{i:02d}" for i in range(20)]
+    assert [g[1:] for g in got if g[0] == "velocity"][:4] == [("i02", 2.0), ("i01", 1.0), ("i00", 0.0), ("i03", None)] and [g[1] for g in got if g[0] == "fastest"] == ["i02"]
+
+
 def test_stream_of_many_batches_equals_batch(spark, tmp_path):
     rows = log(spark, *[(i * 1000 % 7919, f"i{i % 5}", "reddit", i, i, 0.1, [f"t{i % 3}"]) for i in range(60)])
     for k in range(3):

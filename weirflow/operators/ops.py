@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.config import POLL_SECONDS
 from weirflow.functions.scoring import poll_priority, seconds_between
+from weirflow.operators.state import kept
 
 
 def with_priority(posts: DataFrame, now: Column, created: str = "created_utc") -> DataFrame:
@@ -71,15 +75,25 @@ def dead_letter_counts(envelopes: DataFrame) -> DataFrame:
     return envelopes.groupBy("source_topic", "error").agg(F.count("*").alias("events"))
 
 
-def latency_summary(rows: DataFrame, value: str, by: str) -> DataFrame:
-    """Count, sum and nearest-rank P50, P95 and P99. Ranks come from counts of equal values: a value's rows are one row
-    before the sort, so a metric of any size is as many rows as it has distinct values."""
-    values = rows.groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    up_to = F.sum("n").over(Window.partitionBy(by).orderBy("v"))
-    total = F.sum("n").over(Window.partitionBy(by))
-    ranked = values.withColumns({"up_to": up_to, "total": total})
-    pick = lambda p: F.min(F.when(F.col("up_to") > F.least(F.floor(F.col("total") * p / 100), F.col("total") - 1), F.col("v"))).alias(f"p{p}")
-    return ranked.groupBy(by).agg(F.sum("n").alias("count"), F.sum(F.col("v") * F.col("n")).alias("sum"), pick(50), pick(95), pick(99))
+def latency_summary(rows: DataFrame, value: str, by: str, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
+    """Count, sum and nearest-rank percentiles, exact. Equal values are counted first. The distinct ones are dealt by ranges of
+    (metric, value); the counts of the ranges (a row a metric and range) tell which range holds each rank, and only these few
+    ranges are counted through, so no task holds a metric, however many distinct values it has. Nulls count as rows, not as
+    values; a metric without values has null percentiles."""
+    values = rows.groupBy(F.col(by).alias("of"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    ranged = kept(values.where("v IS NOT NULL").repartitionByRange("of", "v").withColumn("range", F.spark_partition_id()))
+    ranges = ranged.groupBy("of", "range").agg(F.sum("n").alias("n"), F.sum(F.col("v") * F.col("n")).alias("s"))
+    w = Window.partitionBy("of")
+    ranges = ranges.withColumns({"upto": F.sum("n").over(w.orderBy("range")), "total": F.sum("n").over(w)})
+    rank = lambda p: F.least(F.floor(F.col("total") * p / 100), F.col("total") - 1) + 1
+    wanted = ranges.withColumns({f"r{p}": rank(p) - (F.col("upto") - F.col("n")) for p in percents})
+    holds = lambda p: F.col(f"r{p}").between(1, F.col("n"))
+    held = wanted.where(reduce(or_, map(holds, percents))).select(F.col("of").alias("_of"), F.col("range").alias("_range"), *[F.when(holds(p), F.col(f"r{p}")).alias(f"r{p}") for p in percents])
+    inside = ranged.join(held, F.col("of").eqNullSafe(F.col("_of")) & (F.col("range") == F.col("_range")))
+    inside = inside.withColumn("upto", F.sum("n").over(Window.partitionBy("of", "range").orderBy("v")))
+    found = inside.groupBy(F.col("of").alias("_of")).agg(*[F.min(F.when(F.col("upto") >= F.col(f"r{p}"), F.col("v"))).alias(f"p{p}") for p in percents])
+    whole = values.groupBy("of").agg(F.sum("n").alias("count"), F.sum(F.col("v") * F.col("n")).alias("sum"))
+    return whole.join(found, F.col("of").eqNullSafe(F.col("_of")), "left").select(F.col("of").alias(by), "count", "sum", *[f"p{p}" for p in percents])
 
 
 def message_rate(rows: DataFrame, by: str, at: str = "captured_at") -> DataFrame:
@@ -88,13 +102,20 @@ def message_rate(rows: DataFrame, by: str, at: str = "captured_at") -> DataFrame
     return rows.groupBy(minute.alias("minute"), by).agg(F.count("*").alias("messages")).withColumn("per_second", F.round(F.col("messages") / 60, 6))
 
 
-def quality_report(rules: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
-    """Violations of each rule: (table, predicate that bad rows meet)."""
-    parts = [rows.agg(F.count_if(bad).alias("violations")).select(F.lit(name).alias("rule"), "violations") for name, (rows, bad) in rules.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def quality_report(rows: DataFrame, rules: dict[str, Column], unique: dict[str, str] | None = None) -> DataFrame:
+    """Violations of each rule: rows that meet its predicate, and, for ``unique`` (rule: key), values of the key that occur more
+    than once. One pass over the rows, whatever the number of rules: they are summed by key first, then over all keys; each
+    further key is a pass of its own."""
+    unique = dict(unique or {})
+    parts, first = [], True
+    for rule, key in unique.items() or [(None, None)]:
+        told = {name: F.coalesce(F.count_if(bad), F.lit(0)) for name, bad in rules.items()} if first else {}
+        counts = rows.groupBy(*([key] if key else [])).agg(F.count("*").alias("_rows"), *[c.alias(f"_{n}") for n, c in told.items()])
+        sums = [F.coalesce(F.sum(f"_{n}"), F.lit(0)).alias(n) for n in told] + ([F.count_if(F.col("_rows") > 1).alias(rule)] if rule else [])
+        names = [*told, *([rule] if rule else [])]
+        parts.append(counts.agg(*sums).select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).cast("long").alias("violations")) for n in names]))))
+        first = False
+    return reduce(DataFrame.unionByName, parts)
 
 
 def repeated(rows: DataFrame, *keys: str) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.functions.scoring import rounded, seconds_between, sentiment_label
+from weirflow.functions.topk import least_k
 
 #: Words of titles that are no dashboard keywords.
 TITLE_STOP = (
-    "that", "this", "with", "from", "have", "they", "will", "been", "were", "your", "what", "when", "where", "about", "just", "than", "then", "there", "their", "which",
+    "that", "this", "with", "from", "have", "they", "will", "been", "were", "your", "what", "when", "about", "just", "than", "then", "there", "their", "which",
     "would", "could", "should", "after", "before", "these", "those", "some", "more", "into", "over", "also", "here", "like", "very", "even", "much", "such", "only",
     "dont", "cant", "wont", "isnt", "arent", "wasnt", "hasnt", "didnt", "doesnt",
 )
@@ -139,12 +140,13 @@ def dash_keywords(rows: DataFrame, keywords: Column, title: Column, n: int = 25,
 
 
 def dash_top(rows: DataFrame) -> DataFrame:
-    """The dashboard's lists: twenty by score, ten by velocity, the fastest, five by momentum."""
-    parts = [rows.orderBy(F.col(c).desc_nulls_last(), "id").limit(n).select(F.lit(kind).alias("list"), "id", F.round(F.col(c).cast("double"), 6).alias("value")) for kind, c, n in (("score", "raw_score", 20), ("velocity", "score_velocity", 10), ("fastest", "score_velocity", 1), ("momentum", "momentum", 5))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """The dashboard's lists: twenty by score, ten by velocity, the fastest, five by momentum; ties by id, unknown values last.
+    All come from one aggregation that keeps the best of each list only."""
+    lists = {"score": ("raw_score", 20), "velocity": ("score_velocity", 10), "fastest": ("score_velocity", 1), "momentum": ("momentum", 5)}
+    best = rows.agg(*[least_k(F.struct(F.col(c).isNull().alias("unknown"), (-F.col(c).cast("double")).alias("minus"), "id"), n).alias(name) for name, (c, n) in lists.items()])
+    entry = lambda name: lambda x: F.struct(F.lit(name).alias("list"), x["id"].alias("id"), F.round(-x["minus"], 6).alias("value"))
+    entries = F.flatten(F.array(*[F.transform(name, entry(name)) for name in lists]))
+    return best.select(F.inline(entries))
 
 
 def divergence_filter(events: DataFrame, now: Column, *, last_hours: float = 24, topic: str | None = None, pair: tuple[str, str] | None = None, resolved: bool = False) -> DataFrame:

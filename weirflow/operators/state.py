@@ -45,9 +45,9 @@ def set_features(state: DataFrame, features: DataFrame, columns: tuple[str, ...]
 
 
 def metrics_history(rows: DataFrame, persist_unmoved: bool = False) -> DataFrame:
-    """Snapshots to append: rows that moved (or all)."""
+    """Snapshots to append: rows that moved (or all), with their sequence number, which tells rows of one time apart."""
     kept = rows if persist_unmoved else rows.where("score_velocity <> 0 OR comment_velocity <> 0")
-    return kept.select("id", "captured_at", "raw_score", "comment_count", "score_velocity", "comment_velocity", "trending_score", "sentiment_compound")
+    return kept.select("id", "captured_at", "seq", "raw_score", "comment_count", "score_velocity", "comment_velocity", "trending_score", "sentiment_compound")
 
 
 def retained(rows: DataFrame, now: Column, days: int = 90, at: str = "captured_at") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.functions.scoring import momentum_label, rounded
+from weirflow.functions.topk import least_k
 
 
 def exploded(rows: DataFrame, most: int = 8) -> DataFrame:
@@ -76,25 +77,32 @@ def cross_platform_detail(buckets: DataFrame, now: Column, hours: float = 2, pla
 
 
 def platform_sentiment(rows: DataFrame, now: Column, minutes: float = 60, least: int = 3) -> DataFrame:
-    """Per topic and platform over the last minutes: mean sentiment, count, earliest time, and the three ids with the top scores."""
+    """Per topic and platform over the last minutes: mean sentiment, count, earliest time, and the three ids with the top scores;
+    one aggregation, whose partial states hold three ids each."""
     recent = rows.where((F.col("captured_at") >= now - F.make_dt_interval(secs=F.lit(minutes * 60.0))) & F.col("sentiment_compound").isNotNull())
-    spread = exploded(recent)
-    rank = F.row_number().over(Window.partitionBy("topic", "platform").orderBy(F.desc_nulls_last("raw_score"), "seq"))
-    top = spread.withColumn("r", rank).where("r <= 3").groupBy("topic", "platform").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("sample_ids"))
-    stats = spread.groupBy("topic", "platform").agg(rounded(F.avg("sentiment_compound"), 4).alias("avg_sentiment"), F.count("*").alias("signal_count"), F.min("captured_at").alias("earliest"))
-    return stats.where(F.col("signal_count") >= least).join(top, ["topic", "platform"])
+    best = least_k(F.struct(F.col("raw_score").isNull().alias("unknown"), (-F.col("raw_score")).alias("minus"), "seq", "id"), 3)
+    stats = exploded(recent).groupBy("topic", "platform").agg(
+        rounded(F.avg("sentiment_compound"), 4).alias("avg_sentiment"), F.count("*").alias("signal_count"), F.min("captured_at").alias("earliest"), best.alias("best")
+    )
+    return stats.where(F.col("signal_count") >= least).withColumn("best", F.transform("best", lambda x: x["id"])).withColumnRenamed("best", "sample_ids")
 
 
 def divergence_events(sentiment: DataFrame, least: float = 0.3) -> DataFrame:
-    """Pairs of platforms of a topic whose sentiments differ: at most a few rows a topic meet, after aggregation."""
-    order = F.array_sort(F.collect_list(F.struct("earliest", "platform")))
-    origin = sentiment.groupBy("topic").agg(order.alias("o")).where(F.size("o") >= 2)
+    """Pairs of platforms of a topic whose sentiments differ, with the topic's origin and its lag to the second platform: all from
+    one array a topic, of an element a platform."""
+    sides = F.array_sort(F.collect_list(F.struct("earliest", "platform", F.col("avg_sentiment").alias("sentiment"), F.col("sample_ids").alias("ids"))))
+    of_topic = sentiment.groupBy("topic").agg(sides.alias("o")).where(F.size("o") >= 2)
     lag = ((F.unix_seconds(F.get("o", F.lit(1))["earliest"]) - F.unix_seconds(F.get("o", F.lit(0))["earliest"])) / 60).cast("int")
-    origin = origin.select("topic", F.get("o", F.lit(0))["platform"].alias("origin_platform"), lag.alias("origin_lag_minutes"))
-    side = lambda s: sentiment.select("topic", F.col("platform").alias(f"platform_{s}"), F.col("avg_sentiment").alias(f"sentiment_{s}"), F.col("sample_ids").alias(f"ids_{s}"))
-    pairs = side("a").join(side("b"), "topic").where(F.col("platform_a") < F.col("platform_b"))
-    pairs = pairs.withColumn("divergence_score", F.round(F.abs(F.col("sentiment_a") - F.col("sentiment_b")), 4)).where(F.col("divergence_score") >= least)
-    return pairs.join(origin, "topic").select("topic", "platform_a", "platform_b", "sentiment_a", "sentiment_b", "divergence_score", "origin_platform", "origin_lag_minutes", F.slice(F.concat("ids_a", "ids_b"), 1, 6).alias("sample_signal_ids"))
+
+    def pair(a: Column, b: Column) -> Column:
+        return F.struct(
+            a["platform"].alias("platform_a"), b["platform"].alias("platform_b"), a["sentiment"].alias("sentiment_a"), b["sentiment"].alias("sentiment_b"),
+            F.round(F.abs(a["sentiment"] - b["sentiment"]), 4).alias("divergence_score"), F.slice(F.concat(a["ids"], b["ids"]), 1, 6).alias("sample_signal_ids"),
+        )
+
+    pairs = F.flatten(F.transform("o", lambda a: F.transform(F.filter("o", lambda b: a["platform"] < b["platform"]), lambda b: pair(a, b))))
+    rows = of_topic.select("topic", F.get("o", F.lit(0))["platform"].alias("origin_platform"), lag.alias("origin_lag_minutes"), F.inline(pairs))
+    return rows.where(F.col("divergence_score") >= least).select("topic", "platform_a", "platform_b", "sentiment_a", "sentiment_b", "divergence_score", "origin_platform", "origin_lag_minutes", "sample_signal_ids")
 
 
 def resolve(events: DataFrame, now: Column, hours: float = 2) -> DataFrame:
@@ -103,16 +111,17 @@ def resolve(events: DataFrame, now: Column, hours: float = 2) -> DataFrame:
 
 
 def trending_topics(rows: DataFrame, now: Column, hours: float = 24, limit: int = 20, platform: str | None = None) -> DataFrame:
-    """Topics by count x platforms x velocity, with two sample signals each."""
+    """Topics by count x platforms x velocity, with two sample signals each, from one aggregation."""
     recent = rows.where(F.col("captured_at") >= now - F.make_dt_interval(secs=F.lit(hours * 3600.0)))
     recent = recent.where(F.col("platform") == platform) if platform else recent
     spread = recent.withColumn("topic", F.explode("topics"))
-    rank = F.row_number().over(Window.partitionBy("topic").orderBy("captured_at", "seq"))
-    samples = spread.withColumn("r", rank).where("r <= 2").groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("samples"))
-    stats = spread.groupBy("topic").agg(F.count("*").alias("signal_count"), F.count_distinct("platform").alias("platform_count"), F.coalesce(F.avg("sentiment_compound"), F.lit(0.0)).alias("s"), F.coalesce(F.avg("score_velocity"), F.lit(0.0)).alias("v")).where("signal_count >= 2")
+    stats = spread.groupBy("topic").agg(
+        F.count("*").alias("signal_count"), F.size(F.collect_set("platform")).cast("long").alias("platform_count"), F.coalesce(F.avg("sentiment_compound"), F.lit(0.0)).alias("s"),
+        F.coalesce(F.avg("score_velocity"), F.lit(0.0)).alias("v"), F.transform(least_k(F.struct("captured_at", "seq", "id"), 2), lambda x: x["id"]).alias("samples"),
+    ).where("signal_count >= 2")
     score = F.round(F.col("signal_count") * F.col("platform_count") * F.greatest(F.col("v") + 1, F.lit(0.1)), 2)
-    ranked = stats.select("topic", "signal_count", "platform_count", F.round("s", 4).alias("avg_sentiment"), F.round("v", 4).alias("avg_velocity"), score.alias("trend_score"), (F.col("platform_count") > 1).alias("cross_platform"))
-    return ranked.orderBy(F.desc("trend_score"), "topic").limit(min(limit, 50)).join(samples, "topic")
+    ranked = stats.select("topic", "signal_count", "platform_count", F.round("s", 4).alias("avg_sentiment"), F.round("v", 4).alias("avg_velocity"), score.alias("trend_score"), (F.col("platform_count") > 1).alias("cross_platform"), "samples")
+    return ranked.orderBy(F.desc("trend_score"), "topic").limit(min(limit, 50))
 
 
 def pulse(rows: DataFrame, now: Column, hours: float = 24, alert: float = 0.3) -> DataFrame:

@@ -167,8 +167,7 @@ def nlp_update(spark, d):
 
 @query("SELECT id, seq, raw_score, round(score_velocity, 6) AS score_velocity, trending_score FROM enr WHERE score_velocity <> 0 OR comment_velocity <> 0", *f.ENRICHED)
 def metrics_history(spark, d):
-    rows = f.enriched(spark, d)
-    return state.metrics_history(rows).join(rows.select("id", "captured_at", "seq"), ["id", "captured_at"]).select("id", "seq", "raw_score", F.round("score_velocity", 6).alias("score_velocity"), "trending_score")
+    return state.metrics_history(f.enriched(spark, d)).select("id", "seq", "raw_score", F.round("score_velocity", 6).alias("score_velocity"), "trending_score")
 
 
 @query("SELECT seq FROM obs, now WHERE captured_at >= t - INTERVAL 10 DAY")
@@ -226,9 +225,9 @@ def keywords(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(words.keywords(F.col("text")), ",").alias("keywords"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(left(text, 80)), '\s+'), lambda x: length(x) > 3)[1:10], ',') AS keywords FROM documents")
+@query(r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: length(x) > 3)[1:10], ',') AS keywords FROM documents")
 def legacy_keywords(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(words.legacy_keywords(F.substring("text", 1, 80)), ",").alias("keywords"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(words.legacy_keywords(F.col("text")), ",").alias("keywords"))
 
 
 TERMS = ("the", "and", "of the", "was", "idiot", "que")
@@ -311,9 +310,9 @@ def divergence(spark, d):
     return topics.divergence_events(topics.platform_sentiment(f.enriched(spark, d), as_of(spark, d), 1440), 0.1)
 
 
-@query("SELECT topic, platform_a, platform_b, sentiment_a, sentiment_b, divergence_score, origin_platform, array_to_string(ids, ',') AS ids FROM ev JOIN org USING (topic)", *f.ENRICHED, f.SPREAD, PLATFORM_SENTIMENT, EVENTS)
+@query("SELECT topic, platform_a, platform_b, sentiment_a, sentiment_b, divergence_score, origin_platform, origin_lag_minutes, array_to_string(ids, ',') AS ids FROM ev JOIN org USING (topic)", *f.ENRICHED, f.SPREAD, PLATFORM_SENTIMENT, EVENTS)
 def divergence_events(spark, d):
-    return divergence(spark, d).select("topic", "platform_a", "platform_b", "sentiment_a", "sentiment_b", "divergence_score", "origin_platform", F.array_join("sample_signal_ids", ",").alias("ids"))
+    return divergence(spark, d).select("topic", "platform_a", "platform_b", "sentiment_a", "sentiment_b", "divergence_score", "origin_platform", "origin_lag_minutes", F.array_join("sample_signal_ids", ",").alias("ids"))
 
 
 def dated_events(spark, d):
@@ -536,10 +535,9 @@ def dash_timeline(spark, d):
 DASH_STOPS = "[" + ", ".join(f"'{w}'" for w in serving.TITLE_STOP) + "]"
 
 
-@query(rf"SELECT word, count(*) AS count FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(left(text, 80)), '\W+'), lambda x: length(x) > 4 AND NOT list_contains({DASH_STOPS}, x) AND NOT regexp_full_match(x, '[0-9]+'))[1:8]) AS word FROM documents WHERE lang = 'en') GROUP BY word ORDER BY count DESC, word LIMIT 25")
+@query(rf"SELECT word, count(*) AS count FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '\W+'), lambda x: length(x) > 4 AND NOT list_contains({DASH_STOPS}, x) AND NOT regexp_full_match(x, '[0-9]+'))[1:8]) AS word FROM documents) GROUP BY word ORDER BY count DESC, word LIMIT 25")
 def dash_keywords(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'")
-    return serving.dash_keywords(docs, F.array().cast("array<string>"), F.substring("text", 1, 80))
+    return serving.dash_keywords(table(spark, d, "documents"), F.array().cast("array<string>"), F.col("text"))
 
 
 @query("""(SELECT 'score' AS list, id, raw_score::DOUBLE AS value FROM m ORDER BY raw_score DESC NULLS LAST, id LIMIT 20) UNION ALL (SELECT 'velocity', id, round(score_velocity, 6) FROM m ORDER BY score_velocity DESC NULLS LAST, id LIMIT 10) UNION ALL (SELECT 'fastest', id, round(score_velocity, 6) FROM m ORDER BY score_velocity DESC NULLS LAST, id LIMIT 1) UNION ALL (SELECT 'momentum', id, round(momentum, 6) FROM m ORDER BY momentum DESC NULLS LAST, id LIMIT 5)""", *f.CURRENT, "m AS (SELECT *, (raw_score + 2 * comment_count) / ((epoch_us(t) - epoch_us(first_seen_at)) / 6e7 + 1) AS momentum FROM cur, now)")
@@ -621,10 +619,10 @@ def archive_rows(spark, d):
 @query("""SELECT 'trending_bounds' AS rule, count(*) FILTER (WHERE trending_score < 0 OR trending_score > 1) AS violations FROM enr UNION ALL SELECT 'velocity_floor', count(*) FILTER (WHERE score_velocity < -0.001) FROM enr UNION ALL SELECT 'platform_known', count(*) FILTER (WHERE platform = 'other') FROM enr UNION ALL SELECT 'score_not_null', count(*) FILTER (WHERE raw_score IS NULL) FROM enr UNION ALL SELECT 'id_repeats', count(*) FROM (SELECT id FROM enr GROUP BY id HAVING count(*) > 1)""", *f.ENRICHED)
 def quality_report(spark, d):
     rows = f.enriched(spark, d)
-    return ops.quality_report({
-        "trending_bounds": (rows, ~F.col("trending_score").between(0, 1)), "velocity_floor": (rows, F.col("score_velocity") < -0.001),
-        "platform_known": (rows, ~F.col("platform").isin("reddit", "hackernews", "youtube", "bluesky")), "score_not_null": (rows, F.col("raw_score").isNull()), "id_repeats": (ops.repeated(rows, "id"), F.lit(True)),
-    })
+    return ops.quality_report(rows, {
+        "trending_bounds": ~F.col("trending_score").between(0, 1), "velocity_floor": F.col("score_velocity") < -0.001,
+        "platform_known": ~F.col("platform").isin("reddit", "hackernews", "youtube", "bluesky"), "score_not_null": F.col("raw_score").isNull(),
+    }, {"id_repeats": "id"})
 
 
 # Streams: the same results through Structured Streaming.
