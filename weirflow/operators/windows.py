@@ -1,15 +1,13 @@
-"""Per-key sequential logic: velocity, rolling baselines, caps, deltas, token buckets."""
+"""Per-key sequential logic: velocity, rolling baselines, caps, deltas; token buckets are in ``throttle``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.config import DEFAULTS, Thresholds
 from weirflow.functions.scoring import fallback_baseline, normalised_score, seconds_between, trending_score
+from weirflow.operators.throttle import token_bucket
 
 
 def with_velocity(obs: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
@@ -36,11 +34,12 @@ def with_normalised(obs: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     return _baseline(obs, w, t).withColumn("normalised_score", normalised_score(F.col("raw_score"), F.col("baseline"))).drop("baseline")
 
 
-def with_normalised_blocked(obs: DataFrame, t: Thresholds = DEFAULTS, *, block: int = 8192, slice_seconds: int = 3600) -> DataFrame:
+def with_normalised_blocked(obs: DataFrame, t: Thresholds = DEFAULTS, *, block: int = 8192, slice_seconds: int = 3600, first: str | None = None) -> DataFrame:
     """The same in blocks, for platforms of any size. Positive rows get their ordinal from counts of time slices; each block
-    of ordinals also gets the rows that its first windows reach back to, so that a (platform, block) is a task's own work."""
+    of ordinals also gets the rows that its first windows reach back to, so that a (platform, block) is a task's own work.
+    ``first``: a column of integers by which rows stand before they stand by time."""
     block = max(block, t.window_rows)
-    rows = obs.withColumn("_slice", F.floor(F.unix_seconds("captured_at") / slice_seconds))
+    rows = obs.withColumn("_slice", F.struct(F.col(first) if first else F.lit(0).alias("_first"), F.floor(F.unix_seconds("captured_at") / slice_seconds).alias("_s")))
     positive = rows.where("raw_score > 0")
     slices = positive.groupBy("platform", "_slice").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("platform").orderBy("_slice")) - F.col("_n")
@@ -80,35 +79,6 @@ def score_delta(obs: DataFrame) -> DataFrame:
     return obs.withColumn("score_delta", F.col("raw_score") - F.lag("raw_score").over(w))
 
 
-def token_bucket(rows: DataFrame, rates: dict[str, float], *, burst_seconds: float = 3.0, streams: int = 1) -> DataFrame:
-    """Rows that a bucket of each platform lets through, by event time: refilled at the platform's rate, holding
-    ``burst_seconds`` of it; no rate or a negative one lets all through, without a shuffle. A busy platform is split into
-    ``streams``, each with its share of the rate. A stream is read in sorted batches, with only its tokens and last time held."""
-    is_metered = F.coalesce(F.col("platform").isin([p for p, rate in rates.items() if rate >= 0]), F.lit(False))
-
-    columns = rows.columns
-
-    def admitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream, tokens, last = None, 0.0, 0.0
-        for part in batches:
-            kept = []
-            names = zip(part["platform"], part["_stream"], strict=True)
-            for name, at in zip(names, part["captured_at"].astype("datetime64[ns]").astype("int64") / 1e9, strict=True):
-                rate = rates[name[0]] / streams
-                size = max(1.0, rate * burst_seconds)
-                if name != stream:
-                    stream, tokens, last = name, size, at
-                tokens = min(size, tokens + rate * (at - last))
-                last = at
-                kept.append(tokens >= 1)
-                tokens -= kept[-1]
-            yield part.loc[kept, columns]
-
-    split = rows.where(is_metered).withColumn("_stream", F.pmod(F.xxhash64("id"), F.lit(streams)))
-    in_order = split.repartition("platform", "_stream").sortWithinPartitions("platform", "_stream", F.asc_nulls_last("captured_at"), "seq")
-    return in_order.mapInPandas(admitted, rows.schema).unionByName(rows.where(~is_metered))
-
-
 def keyset_page(rows: DataFrame, before: Column, size: int = 50) -> DataFrame:
     """The newest rows older than the cursor, at most 200."""
     return rows.where(F.col("captured_at") < before).orderBy(F.desc("captured_at"), "seq").limit(min(size, 200))

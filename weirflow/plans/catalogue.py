@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.functions import scoring, text as words
-from weirflow.operators import marts, numbering, ops, serving, state, topics, windows
+from weirflow.operators import marts, numbering, ops, serving, state, throttle, topics, windows
 from weirflow.plans import frames as f
 from weirflow.schemas import REDDIT
 from weirflow.sources import raw
@@ -44,8 +45,8 @@ def observations_log(spark, d):
     return observations(spark, d).select("seq", "platform", "id", "community_id", f.text("captured_at").alias("captured_at"), "raw_score", "comment_count", "sentiment_compound", F.array_join("topics", ",").alias("topics"))
 
 
-def raw_lines(spark, d, platform):
-    """The log's rows as the platform's own JSON."""
+def raw_lines(spark, d, platform, *others):
+    """The log's rows as the platform's own JSON, beside ``others`` of their columns."""
     o = observations(spark, d).where(F.col("platform") == platform)
     epoch = F.unix_seconds("captured_at")
     iso = F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -55,7 +56,7 @@ def raw_lines(spark, d, platform):
         "bluesky": F.struct(F.concat(F.lit("at://did/post/"), F.col("seq")).alias("uri"), "author", F.struct(F.col("title").alias("text"), iso.alias("createdAt"), F.array(F.lit("en")).alias("langs")).alias("record"), F.col("raw_score").alias("likeCount"), F.col("comment_count").alias("replyCount")),
         "youtube": F.struct(F.col("seq").cast("string").alias("id"), F.struct(F.lit("v1").alias("videoId"), F.col("comment_count").alias("totalReplyCount"), F.struct(F.struct(F.col("title").alias("textOriginal"), F.col("author").alias("authorDisplayName"), iso.alias("publishedAt"), F.col("raw_score").alias("likeCount")).alias("snippet")).alias("topLevelComment")).alias("snippet"), F.lit("video").alias("video_title")),
     }[platform]
-    return o.select(F.to_json(of).alias("value"))
+    return o.select(F.to_json(of).alias("value"), *others)
 
 
 def records(spark, d):
@@ -137,9 +138,18 @@ def score_delta(spark, d):
     return windows.score_delta(observations(spark, d)).select("seq", "score_delta")
 
 
-@query()
+#: Tokens a second; a bucket holds one of them at these rates. Levels in the twin are parts of a token, as in the library.
+RATES = {"reddit": 0.0005, "hackernews": 0.001, "youtube": -1.0}
+WALK = f"""walk AS (WITH RECURSIVE line AS (SELECT seq, platform, epoch_us(captured_at) AS at, row_number() OVER (PARTITION BY platform ORDER BY captured_at, seq) AS n, CASE platform {" ".join(f"WHEN '{p}' THEN {throttle.refill_of(r, 3.0)[0]}" for p, r in RATES.items() if r >= 0)} END AS gain FROM obs WHERE platform IN ('reddit', 'hackernews')),
+  step AS (SELECT *, 0::BIGINT AS level, true AS through FROM line WHERE n = 1 UNION ALL
+    SELECT l.seq, l.platform, l.at, l.n, l.gain, CASE WHEN s.level + l.gain * (l.at - s.at) >= {throttle.TOKEN} THEN least(s.level + l.gain * (l.at - s.at), {throttle.TOKEN}) - {throttle.TOKEN} ELSE s.level + l.gain * (l.at - s.at) END, s.level + l.gain * (l.at - s.at) >= {throttle.TOKEN} FROM step s JOIN line l ON l.platform = s.platform AND l.n = s.n + 1)
+  SELECT seq, platform FROM step WHERE through)"""
+BUCKET = "SELECT seq, platform FROM walk UNION ALL SELECT seq, platform FROM obs WHERE platform NOT IN ('reddit', 'hackernews')"
+
+
+@query(BUCKET, WALK)
 def token_bucket(spark, d):
-    return windows.token_bucket(observations(spark, d), {"reddit": 0.0005, "hackernews": 0.001, "youtube": -1.0}).select("seq", "platform")
+    return windows.token_bucket(observations(spark, d), RATES).select("seq", "platform")
 
 
 # State and history.
@@ -652,9 +662,59 @@ def stream_sliding_topics(spark, d):
     return rows.select("topic", f.text("start").alias("start"), "signals", "platforms")
 
 
-@query()
+def in_files(spark, rows, arrival, parts=3):
+    """A stream of ``rows`` in files that come one after the other, by ``arrival``: ``parts`` batches."""
+    place = f"{jobs.scratch(spark)}/in"
+    first, last = rows.agg(F.min(arrival), F.max(arrival)).first()
+    part = F.least(F.floor((F.unix_micros(arrival) - F.unix_micros(F.lit(first))) * parts / (F.unix_micros(F.lit(last)) - F.unix_micros(F.lit(first)) + 1)), F.lit(parts - 1))
+    for k in range(parts):
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(place)
+    return jobs.read_files(spark, place, rows.schema, files_a_batch=1)
+
+
+@query(BUCKET, WALK)
 def stream_token_bucket(spark, d):
-    return jobs.drain(jobs.throttled(event_stream(spark, d), {"reddit": 0.0005, "hackernews": 0.001, "youtube": -1.0}, "60 days"), ["seq"], "append").select("seq", "platform")
+    o = observations(spark, d).select("seq", "platform", "captured_at")
+    return jobs.drain(jobs.throttled(in_files(spark, o, "captured_at"), RATES), ["seq"], "append").select("seq", "platform")
+
+
+@query("SELECT seq, platform, normalised_score FROM norm", f.VEL, f.NORM)
+def stream_normalised(spark, d):
+    o = observations(spark, d).select("seq", "platform", "captured_at", "raw_score")
+    return jobs.drain(jobs.normalised(in_files(spark, o, "captured_at")), ["seq"], "append")
+
+
+@query(f"SELECT topic, platform, {at('bucket')} AS bucket, signal_count, round(avg_sentiment, 4) AS avg_sentiment, total_score FROM bk", *f.BUCKETED)
+def stream_late_backfill(spark, d):
+    """A tenth of the rows come three days late, past a watermark of an hour: buckets close without them, and are filled later."""
+    o = observations(spark, d).withColumn("trending_score", F.lit(0.0))
+    arrival = F.when(F.col("seq") % 10 == 0, F.col("captured_at") + F.expr("INTERVAL 3 DAYS")).otherwise(F.col("captured_at"))
+    place = jobs.scratch(spark)
+    jobs.carry(jobs.buckets_with_late(in_files(spark, o.withColumn("arrived_at", arrival), "arrived_at", 4), 3600), place)
+    closed = jobs.visible(spark, place, "closed").drop("batch")
+    whole = closed.unionByName(jobs.last_state(spark, place, "open"))  # at the end of the stream all buckets close
+    state.merge_partitions(whole.withColumn("bucket_date", F.to_date("bucket")), f"{place}/buckets", "bucket_date")
+    jobs.backfilled(spark, f"{place}/buckets", jobs.visible(spark, place, "late"))
+    rows = spark.read.parquet(f"{place}/buckets")
+    return rows.select("topic", "platform", f.text("bucket").alias("bucket"), "signal_count", F.round("avg_sentiment", 4).alias("avg_sentiment"), "total_score")
+
+
+@query("""SELECT sink, topic, count(*) AS messages, min(seq)::BIGINT AS first, max(seq)::BIGINT AS last FROM (SELECT 'raw' AS sink, platform || '.raw' AS topic, seq FROM obs WHERE platform <> 'other' UNION ALL SELECT 'unified', 'signals.normalised', seq FROM obs WHERE platform <> 'other'
+  UNION ALL SELECT 'push', 'live', seq FROM obs WHERE platform <> 'other' AND raw_score >= 400) GROUP BY ALL""")
+def stream_published(spark, d):
+    """Every message to its platform's raw channel and to the unified one, high scores to the live one."""
+    lines = reduce(DataFrame.unionByName, [raw_lines(spark, d, p, "captured_at").withColumn("platform", F.lit(p)) for p in raw.NORMALISERS])
+    place = jobs.scratch(spark)
+
+    def unify(batch):
+        told = {p: raw.parse(batch.where(F.col("platform") == p), p).select("raw.*") for p in raw.NORMALISERS}
+        return raw.normalise(told).withColumn("is_trending", F.col("raw_score") >= 400)
+
+    jobs.carry(jobs.published(in_files(spark, lines, "captured_at").select("platform", "value"), unify), place)
+    number = lambda c: F.element_at(F.split(c, "[:/]"), -1).cast("long")
+    told = F.coalesce(F.get_json_object("value", "$.id"), F.get_json_object("value", "$.objectID"), F.get_json_object("value", "$.uri"))
+    sinks = [jobs.visible(spark, place, "raw").select(F.lit("raw").alias("sink"), "topic", number(told).alias("seq")), jobs.visible(spark, place, "unified").select(F.lit("unified").alias("sink"), "topic", number(F.col("id")).alias("seq")), jobs.visible(spark, place, "push").select(F.lit("push").alias("sink"), F.lit("live").alias("topic"), number(F.get_json_object("value", "$.id")).alias("seq"))]
+    return reduce(DataFrame.unionByName, sinks).groupBy("sink", "topic").agg(F.count("*").alias("messages"), F.min("seq").alias("first"), F.max("seq").alias("last"))
 
 
 @query("SELECT list, count(*) AS messages, min(seq)::BIGINT AS first, max(seq)::BIGINT AS last FROM (SELECT CASE platform WHEN 'reddit' THEN 'raw' WHEN 'youtube' THEN 'refresh' ELSE 'signals' END AS list, seq FROM obs WHERE platform <> 'other') GROUP BY list")

@@ -1,22 +1,23 @@
-"""The same operators on streams: sources, routing by topic, windowed buckets, keyed velocity, rolling baselines, token buckets,
-de-duplication, two sinks a batch."""
+"""The same operators on streams: sources, routing by topic, windowed buckets, keyed velocity, de-duplication; and, with tables
+carried from batch to batch, rolling baselines, token buckets, late rows, and several sinks that become visible together."""
 
 from __future__ import annotations
 
 import uuid
-from collections import deque
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from weirflow.config import DEFAULTS, Thresholds
-from weirflow.functions.scoring import fallback_baseline, normalised_score
-from weirflow.operators.state import shared_folder
-from weirflow.operators.topics import exploded
+from weirflow.operators import throttle
+from weirflow.operators.state import kept, merge_partitions, shared_folder
+from weirflow.operators.topics import exploded, merge_buckets, topic_buckets
+from weirflow.operators.windows import with_normalised_blocked
 
 
 def read_files(spark: SparkSession, path: str, schema: StructType, form: str = "parquet", files_a_batch: int | None = None) -> DataFrame:
@@ -81,51 +82,147 @@ def velocities(rows: DataFrame, late: str = "25 hours", ttl: int = DEFAULTS.ttl_
     return source.groupBy("id").applyInPandasWithState(step, "seq long, id string, score_velocity double, comment_velocity double", "at double, score long, comments long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def normalised(rows: DataFrame, late: str = "25 hours", t: Thresholds = DEFAULTS) -> DataFrame:
-    """normalised_score per platform with its last ``window_rows`` positive scores as state, in the order in which batches
-    come and by (time, seq) inside a batch."""
+#: Tables by name.
+Tables = dict[str, DataFrame]
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = deque(state.get[0] if state.exists else [], maxlen=t.window_rows)
-        part = pd.concat(list(parts)).sort_values(["captured_at", "seq"])
-        out, total = [], sum(last)
-        for seq, score in zip(part["seq"], part["raw_score"], strict=True):
-            out.append(total / len(last) if len(last) >= t.least_samples else None)
-            if score > 0:
-                total += int(score) - (last[0] if len(last) == t.window_rows else 0)
-                last.append(int(score))
-        state.update((list(last),))
-        yield pd.DataFrame({"seq": part["seq"], "platform": key[0], "raw_score": part["raw_score"].astype("Int64"), "baseline": pd.Series(out, index=part.index, dtype="float64")})
 
-    source = rows.select("seq", "platform", "captured_at", "raw_score").withWatermark("captured_at", late)
-    told = source.groupBy("platform").applyInPandasWithState(step, "seq long, platform string, raw_score long, baseline double", "scores array<long>", "append", GroupStateTimeout.NoTimeout)
-    score = normalised_score(F.col("raw_score"), F.coalesce("baseline", fallback_baseline(F.col("platform"), t)))
-    return told.select("seq", "platform", F.coalesce(score, F.lit(0.0)).alias("normalised_score"))
+@dataclass(frozen=True)
+class Carried:
+    """A stream whose batches need what earlier ones left: ``step(rows, state)`` gives the tables that a batch adds to the sinks and
+    the state after it. The state is a few small tables that the step names, absent before the first batch."""
 
+    stream: DataFrame
+    step: Callable[[DataFrame, Tables], tuple[Tables, Tables]]
 
-def throttled(rows: DataFrame, rates: dict[str, float], late: str = "25 hours", burst_seconds: float = 3.0) -> DataFrame:
-    """Rows that a bucket of each platform lets through, with its tokens and last time as state; inside a batch by (time, seq).
-    No rate or a negative one lets all through, without state. A row older than the state refills nothing."""
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rate = rates[key[0]]
-        size = max(1.0, rate * burst_seconds)
-        part = pd.concat(list(parts)).sort_values(["captured_at", "seq"])
-        times = part["captured_at"].astype("datetime64[ns]").astype("int64") / 1e9
-        tokens, last = state.get if state.exists else (size, float(times.iloc[0]))
-        kept = []
-        for at in times:
-            tokens = min(size, tokens + rate * max(0.0, at - last))
-            last = max(last, at)
-            kept.append(tokens >= 1)
-            tokens -= kept[-1]
-        state.update((tokens, last))
-        yield pd.DataFrame({"seq": part["seq"][kept], "platform": key[0]})
-
-    source = rows.select("seq", "platform", "captured_at").withWatermark("captured_at", late)
-    metered = F.coalesce(F.col("platform").isin([p for p, rate in rates.items() if rate >= 0]), F.lit(False))
-    held = source.where(metered).groupBy("platform").applyInPandasWithState(step, "seq long, platform string", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
-    return held.unionByName(source.where(~metered).select("seq", "platform"))
+def existing(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def batches(work: Carried, place: str) -> Callable[[DataFrame, int], None]:
+    """What a stream does with a batch: every sink's rows and every state table are written under the batch's number, and last the
+    batch's line in the manifest. Sinks are read through the manifest, so a batch shows in all of them or in none; a batch that is
+    run again after a fault reads the state before it, and replaces whatever it had written."""
+
+    def run(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        before = f"{place}/state/batch={number - 1}"
+        names = [r["name"] for r in spark.read.parquet(f"{before}/names").collect()] if existing(spark, f"{before}/names") else []
+        rows = rows.persist()
+        try:
+            sinks, state = work.step(rows, {n: spark.read.parquet(f"{before}/{n}") for n in names})
+            for name, table in sinks.items():
+                table.write.mode("overwrite").parquet(f"{place}/{name}/batch={number}")
+            for name, table in state.items():
+                table.write.mode("overwrite").parquet(f"{place}/state/batch={number}/{name}")
+            spark.createDataFrame([(n,) for n in state], "name string").coalesce(1).write.mode("overwrite").parquet(f"{place}/state/batch={number}/names")
+            spark.createDataFrame([(n,) for n in sinks], "sink string").coalesce(1).write.mode("overwrite").parquet(f"{place}/manifest/batch={number}")
+        finally:
+            rows.unpersist()
+
+    return run
+
+
+def visible(spark: SparkSession, place: str, sink: str) -> DataFrame:
+    """A sink's rows, with their batch: of the batches that the manifest lists, and of no other."""
+    done = spark.read.parquet(f"{place}/manifest").where(F.col("sink") == sink).select("batch")
+    return spark.read.parquet(f"{place}/{sink}").join(F.broadcast(done), "batch")  # a row a batch
+
+
+def carry(work: Carried, place: str) -> None:
+    """All that is there now, through the stream, into the sinks under ``place``."""
+    query = work.stream.writeStream.option("checkpointLocation", f"{place}/stream").trigger(availableNow=True).foreachBatch(batches(work, place)).start()
+    query.awaitTermination()
+
+
+def normalised(rows: DataFrame, late: str = "25 hours", t: Thresholds = DEFAULTS) -> Carried:
+    """normalised_score per platform, in the order in which batches come and by (time, seq) inside a batch. A batch meets the last
+    ``window_rows`` positive scores of each platform, a table that it renews; baselines come from sums over blocks, so no task and
+    no state holds a platform's batch. A row without a score scores 0. ``late`` has no effect: no row is dropped."""
+    columns = ("seq", "platform", "captured_at", "raw_score")
+
+    def step(batch: DataFrame, state: Tables) -> tuple[Tables, Tables]:
+        new = batch.select(*columns, F.lit(0).cast("long").alias("turn"))
+        both = kept(new.unionByName(state["last"].select(*columns, "turn")) if state else new)
+        scored = with_normalised_blocked(both, t, first="turn").where("turn = 0")
+        newest = F.row_number().over(Window.partitionBy("platform").orderBy(F.desc("turn"), F.desc("captured_at"), F.desc("seq")))
+        last = both.where("raw_score > 0").withColumn("place", newest).where(F.col("place") <= t.window_rows)
+        return {"out": scored.select("seq", "platform", "normalised_score")}, {"last": last.select(*columns, (-F.col("place")).cast("long").alias("turn"))}
+
+    return Carried(rows.select(*columns), step)
+
+
+def throttled(rows: DataFrame, rates: dict[str, float], late: str = "25 hours", burst_seconds: float = 3.0) -> Carried:
+    """Rows that a bucket of each platform lets through, inside a batch by (time, seq); a row older than the batches before refills
+    nothing. What is carried is a level and a time for each rate. No rate or a negative one lets all through."""
+
+    def step(batch: DataFrame, state: Tables) -> tuple[Tables, Tables]:
+        old = {r["platform"]: (r["level"], r["at"]) for r in state["buckets"].collect()} if state else {}  # a row a rate
+        through, buckets = throttle.metered(batch, rates, burst_seconds=burst_seconds, state=old)
+        now = {r["platform"]: (r["level"], r["at"]) for r in buckets.collect()}
+        left = [(p, *v) for p, v in (old | now).items()]
+        return {"out": through.select("seq", "platform")}, {"buckets": batch.sparkSession.createDataFrame(left, "platform string, level long, at long")}
+
+    return Carried(rows.select("seq", "platform", "captured_at"), step)
+
+
+def buckets_with_late(rows: DataFrame, late_seconds: int = 7200, minutes: int = 15) -> Carried:
+    """Topic buckets that close: a bucket is open until the watermark (latest time seen less ``late_seconds``) passes its end. Open
+    ones are carried as partial aggregates; a bucket is written to ``closed`` once, when it closes. Rows of a bucket that had closed
+    before their batch, and those without a time, go aside to ``late``, whole; ``backfilled`` puts them where they belong."""
+    end = F.unix_micros("bucket") + minutes * 60_000_000
+
+    def step(batch: DataFrame, state: Tables) -> tuple[Tables, Tables]:
+        mark = state["mark"].first()["mark"] if state else None
+        at = F.floor(F.unix_micros("captured_at") / (minutes * 60_000_000)) * (minutes * 60_000_000) + minutes * 60_000_000
+        behind = F.col("captured_at").isNull() | (at <= mark if mark is not None else F.lit(False))
+        fresh = topic_buckets(batch.where(~behind), minutes)
+        now = merge_buckets(state["open"], fresh) if state else fresh
+        seen = batch.agg(F.max(F.unix_micros("captured_at"))).first()[0]
+        mark = max(x for x in (mark, None if seen is None else seen - late_seconds * 1_000_000, -(2**62)) if x is not None)
+        now = kept(now)
+        return {"closed": now.where(end <= mark), "late": batch.where(behind)}, {"open": now.where(end > mark), "mark": batch.sparkSession.createDataFrame([(mark,)], "mark long")}
+
+    return Carried(rows, step)
+
+
+def last_state(spark: SparkSession, place: str, name: str) -> DataFrame:
+    """A state table after the last batch that the manifest lists."""
+    number = spark.read.parquet(f"{place}/manifest").agg(F.max("batch")).first()[0]
+    return spark.read.parquet(f"{place}/state/batch={number}/{name}")
+
+
+def backfilled(spark: SparkSession, table: str, late: DataFrame, minutes: int = 15) -> None:
+    """Adds late rows to the bucket table (partitioned by ``bucket_date``): summed to partial aggregates, merged with the partitions
+    of the days they fall on, and only these are replaced. To be run once for a set of late rows."""
+    new = kept(topic_buckets(late.where("captured_at IS NOT NULL"), minutes).withColumn("bucket_date", F.to_date("bucket")))
+    days = new.select("bucket_date").distinct()
+    stored = spark.read.parquet(table)
+    touched = stored.join(days, "bucket_date", "left_semi").select(*[c for c in new.columns if c != "bucket_date"])
+    merge_partitions(kept(merge_buckets(touched, new.drop("bucket_date")).withColumn("bucket_date", F.to_date("bucket"))), table, "bucket_date")
+
+
+def published(messages: DataFrame, unify: Callable[[DataFrame], DataFrame]) -> Carried:
+    """Each message to the raw channel of its platform and, unified, to the one channel of all; trending ones to the live channel,
+    as a short line. ``unify`` makes signals (with ``is_trending``) of a batch's messages (platform, value); what it drops stays in
+    the raw channel."""
+
+    def step(batch: DataFrame, state: Tables) -> tuple[Tables, Tables]:
+        signals = kept(unify(batch))
+        raw = batch.select(F.concat("platform", F.lit(".raw")).alias("topic"), "value")
+        unified = signals.select(F.lit("signals.normalised").alias("topic"), "id", "platform", F.to_json(F.struct(*signals.columns)).alias("value"))
+        return {"raw": raw, "unified": unified, "push": signals.where("is_trending").select("id", pushed(signals).alias("value"))}, {}
+
+    return Carried(messages, step)
+
+
+LIVE_FIELDS = ("id", "title", "author", "trending_score", "raw_score", "comment_count", "score_velocity")
+
+
+def pushed(signals: DataFrame) -> Column:
+    """The line that the live channel gets of a signal: what it has of the live fields."""
+    return F.to_json(F.struct(*[c for c in LIVE_FIELDS if c in signals.columns]))
 
 
 def routed(messages: DataFrame, lists: dict[str, str], topic: str = "topic") -> DataFrame:
@@ -142,7 +239,7 @@ def two_sinks(batch: Callable[[DataFrame, int], None], push: Callable[[DataFrame
         rows.persist()
         try:
             batch(rows, number)
-            push(rows.where("is_trending").select(F.to_json(F.struct("id", "title", "author", "trending_score", "raw_score", "comment_count", "score_velocity")).alias("value")), number)
+            push(rows.where("is_trending").select(pushed(rows).alias("value")), number)
         finally:
             rows.unpersist()
 
@@ -154,9 +251,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, keys: list[str], mode: str = "update", partitions: int | None = None) -> DataFrame:
+def drain(stream: DataFrame | Carried, keys: list[str], mode: str = "update", partitions: int | None = None) -> DataFrame:
     """All that is there now, through the stream: each micro-batch's rows are written under its number, and the last row of a
-    key is its result. A batch run twice overwrites itself."""
+    key is its result. A batch run twice overwrites itself. Of a carried stream: the rows of its sink ``out``."""
+    if isinstance(stream, Carried):
+        spark = stream.stream.sparkSession
+        place = scratch(spark)
+        carry(stream, place)
+        return visible(spark, place, "out").drop("batch")
     spark = stream.sparkSession
     place = scratch(spark)
 
