@@ -60,13 +60,17 @@ def with_normalised_blocked(obs: DataFrame, t: Thresholds = DEFAULTS, *, block:
     return scored.select(*obs.columns, "normalised_score").unionByName(flat.select(*obs.columns, "normalised_score"))
 
 
-def enriched(obs: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """Velocity, normalised score, trending score and flag of every observation."""
-    rows = with_normalised_blocked(with_velocity(obs, t), t)
+def scored(rows: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """Trending score and flag, from velocity and normalised score."""
     score = trending_score(F.col("platform"), F.col("score_velocity"), F.col("sentiment_compound"), F.col("comment_count"), F.col("normalised_score"), t)
     return rows.withColumn("trending_score", score).withColumn("is_trending", F.col("trending_score") >= t.cutoff)
 
 
+def enriched(obs: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """Velocity, normalised score, trending score and flag of every observation."""
+    return scored(with_normalised_blocked(with_velocity(obs, t), t), t)
+
+
 def minute_cap(rows: DataFrame, cap: int = 200, at: str = "captured_at", order: str = "seq") -> DataFrame:
     """At most ``cap`` rows a minute, the first by time."""
     minute = F.date_trunc("minute", at)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.functions import scoring, text as words
-from weirflow.operators import marts, numbering, ops, serving, state, throttle, topics, windows
+from weirflow.operators import base, marts, numbering, ops, serving, state, throttle, topics, windows
 from weirflow.plans import frames as f
 from weirflow.schemas import REDDIT
 from weirflow.sources import raw
@@ -163,6 +163,26 @@ def signals_current(spark, d):
     return c.select("id", "platform", "community_id", "title", "author", "normalised_score", "raw_score", "comment_count", F.round("score_velocity", 6).alias("score_velocity"), "trending_score", "sentiment_compound", F.array_join("topics", ",").alias("topics"), f.text("first_seen_at").alias("first_seen_at"), f.text("last_updated_at").alias("last_updated_at"))
 
 
+STATE = "SELECT id, platform, normalised_score, raw_score, comment_count, round(score_velocity, 6) AS score_velocity, trending_score, sentiment_compound FROM cur"
+
+
+@query(STATE, *f.CURRENT)
+def marts_base(spark, d):
+    """The state that the marts stand on, built here or by the first mart."""
+    return f.based(spark, d).select("id", "platform", "normalised_score", "raw_score", "comment_count", F.round("score_velocity", 6).alias("score_velocity"), "trending_score", "sentiment_compound")
+
+
+@query(STATE, *f.CURRENT)
+def signals_incremental(spark, d):
+    """The state after the log came in three spans of days, each extending what the spans before left."""
+    o = observations(spark, d)
+    first, last = o.agg(F.min(F.to_date("captured_at")), F.max(F.to_date("captured_at"))).first()
+    grown = base.new_base(o.count())
+    for third in (1, 2, 3):
+        grown = base.extended(grown, o.where(F.to_date("captured_at") <= F.date_add(F.lit(first), (last - first).days * third // 3)))
+    return grown.state(spark).select("id", "platform", "normalised_score", "raw_score", "comment_count", F.round("score_velocity", 6).alias("score_velocity"), "trending_score", "sentiment_compound")
+
+
 @query("SELECT id, seq, raw_score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY captured_at DESC, seq DESC) AS r FROM obs) WHERE r = 1")
 def posts_current(spark, d):
     return state.latest_per_key(observations(spark, d), "id", "captured_at", "seq").select("id", "seq", "raw_score")

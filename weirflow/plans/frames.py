@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.operators import marts, state, topics, windows
+from weirflow.operators import base, marts, state, topics, windows
 from weirflow.sources import fixtures
 from weirflow.sources.fixtures import as_of, observations
 
@@ -23,8 +23,35 @@ def current(spark: SparkSession, d: str) -> DataFrame:
     return state.fold(state.only_when_moved(enriched(spark, d)))
 
 
+#: Bases of this process: (application, place, files) -> base.
+_bases: dict[tuple, base.Base] = {}
+
+
+def files_of(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files: what tells whether it changed."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    status = system.getFileStatus(place)
+    found = system.listStatus(place) if status.isDirectory() else [status]
+    return tuple(sorted((str(s.getPath()), s.getLen(), s.getModificationTime()) for s in found))
+
+
+def marts_base(spark: SparkSession, d: str) -> base.Base:
+    """The base of the marts: built from the log once a session, and read by every mart after that, until the log's files change."""
+    key = (spark.sparkContext.applicationId, d, files_of(spark, f"{d}/events.parquet"))
+    if key not in _bases:
+        o = observations(spark, d)
+        _bases[key] = base.extended(base.new_base(o.count()), o)
+    return _bases[key]
+
+
+def based(spark: SparkSession, d: str) -> DataFrame:
+    """Current state of every signal, from the base."""
+    return marts_base(spark, d).state(spark)
+
+
 def posts(spark: SparkSession, d: str) -> DataFrame:
-    return posts_of(current(spark, d))
+    return posts_of(based(spark, d))
 
 
 def posts_of(c: DataFrame) -> DataFrame:
@@ -39,7 +66,7 @@ def posts_of(c: DataFrame) -> DataFrame:
 
 
 def nlp(spark: SparkSession, d: str) -> DataFrame:
-    return nlp_of(current(spark, d))
+    return nlp_of(based(spark, d))
 
 
 def nlp_of(c: DataFrame) -> DataFrame:
@@ -48,7 +75,7 @@ def nlp_of(c: DataFrame) -> DataFrame:
 
 
 def post_history(spark: SparkSession, d: str) -> DataFrame:
-    return observations(spark, d).select(F.col("id").alias("post_id"), "captured_at", F.col("raw_score").alias("score"), F.col("comment_count").alias("num_comments"), ((F.col("seq") % 100) / F.lit(100.0)).alias("upvote_ratio"))
+    return marts_base(spark, d).log(spark).select(F.col("id").alias("post_id"), "captured_at", F.col("raw_score").alias("score"), F.col("comment_count").alias("num_comments"), ((F.col("seq") % 100) / F.lit(100.0)).alias("upvote_ratio"))
 
 
 def stg_posts(spark: SparkSession, d: str) -> DataFrame:
@@ -64,9 +91,8 @@ def stg_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 def staged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Staged posts and features, of a current state that is folded once for both."""
-    c = state.kept(current(spark, d))
-    return marts.stg_posts(posts_of(c), as_of(spark, d)), marts.stg_nlp_features(nlp_of(c))
+    """Staged posts and features, of the base's state."""
+    return stg_posts(spark, d), stg_nlp(spark, d)
 
 
 def dim_posts(spark: SparkSession, d: str) -> DataFrame:
