@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.functions import scoring, text as words
+from weirflow.functions import lexicon, scoring, text as words
 from weirflow.operators import base, marts, numbering, ops, serving, state, throttle, topics, windows
 from weirflow.plans import frames as f
 from weirflow.schemas import REDDIT
@@ -279,6 +279,52 @@ def sentiment(spark, d):
     return table(spark, d, "documents").select("doc_id", score.alias("sentiment_compound")).withColumn("sentiment_label", scoring.sentiment_label(F.col("sentiment_compound")))
 
 
+# Terms of a table. The tables are made of the documents' own words and pairs of words, so they grow with these.
+
+RUNS = rf"""tok AS MATERIALIZED (SELECT *, len(list_filter(w, lambda x: upper(x) = x AND lower(x) <> x)) BETWEEN 1 AND len(w) - 1 AS mixed FROM (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> ''), lambda x: trim(x, '{words.PUNCTUATION}')) AS w, text FROM documents)),
+word AS (SELECT DISTINCT lower(unnest(w)) AS term FROM tok),
+pair AS (SELECT DISTINCT lower(w[i] || ' ' || w[i + 1]) AS term FROM tok, LATERAL (SELECT unnest(range(1, len(w))) AS i) WHERE doc_id % 10 = 0)"""
+KIND = "CASE WHEN length(term) % 11 = 2 THEN 'booster' WHEN length(term) % 11 = 3 AND ascii(term) % 3 = 0 THEN 'negation' WHEN length(term) = 4 AND ascii(term) % 13 = 0 THEN 'contrast' WHEN ascii(term) % 4 = 1 THEN 'valence' END"
+VALUE = "CASE WHEN length(term) % 11 = 2 THEN 0.293 ELSE ((length(term) * 7 + ascii(term)) % 9 - 4) * 0.5 + 0.25 END"
+HITS = """runs AS (SELECT doc_id, i - 1 AS pos, n, lower(array_to_string(w[i:i + n - 1], ' ')) AS term, len(list_filter(w[i:i + n - 1], lambda x: NOT (upper(x) = x AND lower(x) <> x))) = 0 AS capital, mixed
+  FROM tok, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i), (VALUES (1), (2)) v(n) WHERE i + n - 1 <= len(w)),
+longest AS (SELECT * FROM runs JOIN terms USING (term) QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY n DESC) = 1),
+hit AS (SELECT * FROM longest QUALIFY coalesce(max(pos + n - 1) OVER (PARTITION BY doc_id ORDER BY pos RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING), -1) < pos)"""
+LOUD = "(CASE WHEN capital AND mixed THEN 0.733::DOUBLE ELSE 0.0::DOUBLE END)"
+RULED = f"""ruled AS (SELECT *, min(CASE WHEN kind = 'contrast' THEN pos END) OVER (PARTITION BY doc_id) AS turn_at, coalesce(max((kind = 'negation')::INT) OVER (PARTITION BY doc_id ORDER BY pos RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) > 0 AS turned,
+  {" + ".join(f"coalesce(max(CASE WHEN kind = 'booster' THEN value + {LOUD} * sign(value) END) OVER (PARTITION BY doc_id ORDER BY pos RANGE BETWEEN {d} PRECEDING AND {d} PRECEDING), 0.0::DOUBLE) * {fade}::DOUBLE" for d, fade in enumerate(lexicon.FADE, 1))} AS boost FROM hit),
+summed AS (SELECT doc_id, sum(round((value + ({LOUD} + boost) * sign(value)) * CASE WHEN turned THEN -0.74::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN pos < turn_at THEN 0.5::DOUBLE WHEN pos > turn_at THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END, 9)::DECIMAL(20, 9))::DOUBLE AS s FROM ruled WHERE kind = 'valence' GROUP BY doc_id),
+marked AS (SELECT doc_id, coalesce(s, 0.0) AS s, length(coalesce(text, '')) - length(replace(coalesce(text, ''), '!', '')) AS x, length(coalesce(text, '')) - length(replace(coalesce(text, ''), '?', '')) AS q FROM tok LEFT JOIN summed USING (doc_id)),
+raised AS (SELECT doc_id, s + sign(s) * (least(x, 4) * 0.292::DOUBLE + CASE WHEN q > 3 THEN 0.96::DOUBLE WHEN q > 1 THEN q * 0.18::DOUBLE ELSE 0.0::DOUBLE END) AS s FROM marked)"""
+
+
+def run_terms(spark, d):
+    """The documents' words, and pairs of words of a tenth of them, in lower case."""
+    docs = table(spark, d, "documents").select("doc_id", F.transform(lexicon.words_of(F.col("text")), F.lower).alias("w"))
+    pairs = docs.where("doc_id % 10 = 0").select(F.explode(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))).alias("term"))
+    return docs.select(F.explode("w").alias("term")).distinct(), pairs.distinct()
+
+
+@query("SELECT doc_id, round(s / sqrt(s * s + 15), 4) AS sentiment_compound FROM raised", RUNS, f"terms AS (SELECT * FROM (SELECT term, {KIND} AS kind, ({VALUE})::DOUBLE AS value FROM (FROM word UNION ALL (FROM pair WHERE length(term) % 5 = 0))) WHERE kind IS NOT NULL)", HITS, RULED)
+def sentiment_lexicon(spark, d):
+    """Sentiment by a lexicon of thousands of words and phrases, with boosters, negations, contrasts, capitals and marks."""
+    word, pair = run_terms(spark, d)
+    terms = word.unionByName(pair.where(F.length("term") % 5 == 0)).withColumns({"kind": F.expr(KIND), "value": F.expr(VALUE).cast("double")}).where("kind IS NOT NULL")
+    return lexicon.sentiment_by_table(table(spark, d, "documents"), "text", terms, ["doc_id"])
+
+
+NOISE = "[" + ", ".join(f"'{w}'" for w in words.NOISE_TOPICS) + "]"
+
+
+@query(f"""SELECT doc_id, coalesce(array_to_string(list(name ORDER BY pos)[1:8], ','), '') AS topics FROM documents LEFT JOIN (SELECT doc_id, name, min(pos) AS pos FROM hit WHERE length(name) >= 2 AND NOT regexp_full_match(name, '[0-9]+') AND NOT list_contains({NOISE}, name) GROUP BY doc_id, name) USING (doc_id) GROUP BY doc_id""",
+       RUNS, "terms AS (SELECT term, term AS name FROM word WHERE length(term) % 3 = 0 UNION ALL SELECT term, term FROM pair WHERE ascii(term) % 2 = 0)", HITS)
+def entity_topics(spark, d):
+    """Topics by a table of names of one and two words: the longest match, less noise."""
+    word, pair = run_terms(spark, d)
+    names = word.where(F.length("term") % 3 == 0).unionByName(pair.where(F.ascii("term") % 2 == 0)).withColumn("name", F.col("term"))
+    return lexicon.topics_by_table(table(spark, d, "documents"), "text", names, ["doc_id"]).withColumn("topics", F.array_join("topics", ","))
+
+
 # Topic intelligence.
 
 
