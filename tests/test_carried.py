@@ -105,3 +105,21 @@ def test_late_rows_reach_their_own_buckets(spark, tmp_path):
     columns = ["topic", "platform", "bucket", "signal_count", "sentiment_sum", "sentiment_n", "total_score"]
     plain = lambda df: sorted(tuple(r) for r in df.select(*columns).collect())
     assert plain(spark.read.parquet(f"{place}/t")) == plain(topics.topic_buckets(table.where("captured_at IS NOT NULL")))
+
+
+def test_a_timed_stream_goes_on_where_it_stopped(spark, tmp_path):
+    lines = lambda a, b: spark.range(a, b).select(F.lit("a.raw").alias("topic"), F.to_json(F.struct(F.col("id").alias("n"))).alias("value"))
+    bad = spark.createDataFrame([("a.raw", "no json"), ("other", "{}"), ("a.raw", None)], "topic string, value string")
+    lines(0, 5).unionByName(bad).coalesce(1).write.parquet(str(tmp_path / "in"))
+    told = jobs.records_of(jobs.read_files(spark, str(tmp_path / "in"), bad.schema), {"a.raw": "n long"})
+    work, place = jobs.Carried(told, lambda rows, state: ({"out": rows.select("a_raw.n")}, {})), str(tmp_path / "p")
+    for first in (5, 8):
+        query = jobs.run_every(work, place, 0.2)
+        query.processAllAvailable()
+        query.stop()
+        lines(first, first + 3).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = jobs.run_every(work, place)
+    query.processAllAvailable()
+    query.stop()
+    got = [r.n for r in jobs.visible(spark, place, "out").collect()]
+    assert sorted(n for n in got if n is not None) == list(range(11)) and got.count(None) == 2

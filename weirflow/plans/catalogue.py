@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weirflow.functions import lexicon, scoring, text as words
 from weirflow.operators import base, marts, numbering, ops, serving, state, throttle, topics, windows
 from weirflow.plans import frames as f
-from weirflow.schemas import REDDIT
+from weirflow.schemas import RAW, REDDIT
 from weirflow.sources import raw
 from weirflow.sources.fixtures import as_observations, as_of, communities, observations, sql, subreddit_config, table
 from weirflow.streaming import jobs
@@ -70,6 +70,13 @@ def normalise_union(spark, d):
     return raw.normalise(records(spark, d)).select("id", "platform", "title", "body", "url", "author", "community", "published_at", "raw_score", "comment_count")
 
 
+@query(f"SELECT platform || ':' || seq AS id, platform, {at("date_trunc('second', captured_at)")} AS published_at, raw_score, 1 AS schema_version FROM obs WHERE platform <> 'other'")
+def signals_stored(spark, d):
+    """Unified signals in their stored types."""
+    rows = raw.stored(raw.normalise(records(spark, d)), F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return rows.select("id", "platform", f.text("published_at").alias("published_at"), "raw_score", "schema_version")
+
+
 @query("SELECT seq::VARCHAR AS id, raw_score AS points FROM obs WHERE platform = 'hackernews' AND seq % 3 <> 0 AND seq % 7 <> 0")
 def hn_filter(spark, d):
     return records(spark, d)["hackernews"].where(raw.hackernews_wanted()).select(F.col("objectID").alias("id"), "points")
@@ -783,6 +790,16 @@ def stream_published(spark, d):
     return reduce(DataFrame.unionByName, sinks).groupBy("sink", "topic").agg(F.count("*").alias("messages"), F.min("seq").alias("first"), F.max("seq").alias("last"))
 
 
+@query("SELECT platform, count(*) AS messages, sum(raw_score)::BIGINT AS score FROM obs WHERE platform IN ('reddit', 'hackernews', 'youtube') GROUP BY platform")
+def stream_records(spark, d):
+    """Messages of three topics from the wire, each parsed by its topic's schema."""
+    wire = reduce(DataFrame.unionByName, [raw_lines(spark, d, p, "captured_at").withColumn("topic", F.lit(f"{p}.raw")) for p in raw.NORMALISERS])
+    told = jobs.records_of(in_files(spark, wire, "captured_at"), {f"{p}.raw": RAW[p] for p in ("reddit", "hackernews", "youtube")})
+    score = F.coalesce("reddit_raw.score", "hackernews_raw.points", "youtube_raw.snippet.topLevelComment.snippet.likeCount")
+    rows = jobs.drain(told.select(F.element_at(F.split("topic", "[.]"), 1).alias("platform"), score.alias("score")), [], "append")
+    return rows.groupBy("platform").agg(F.count("*").alias("messages"), F.sum("score").alias("score"))
+
+
 @query("SELECT list, count(*) AS messages, min(seq)::BIGINT AS first, max(seq)::BIGINT AS last FROM (SELECT CASE platform WHEN 'reddit' THEN 'raw' WHEN 'youtube' THEN 'refresh' ELSE 'signals' END AS list, seq FROM obs WHERE platform <> 'other') GROUP BY list")
 def stream_routed(spark, d):
     """Messages of three topics, dealt into their work lists; other topics are left."""

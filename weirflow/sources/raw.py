@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.config import BLUESKY_TERMS
-from weirflow.schemas import RAW
+from weirflow.schemas import RAW, SIGNAL
 
 TITLE, BODY = 512, 2048
 
@@ -93,3 +95,12 @@ def split_valid(lines: DataFrame, platform: str, source_topic: str, failed_at: C
     bad = malformed | key.isNull()
     dead = parsed.where(bad).select(F.lit(source_topic).alias("source_topic"), F.when(malformed, "malformed").otherwise("no id").alias("error"), failed_at.alias("failed_at"), F.lit(1).alias("attempt"), F.col(value).alias("payload"))
     return parsed.where(~bad).select("raw.*").drop("_malformed"), dead
+
+
+def stored(signals: DataFrame, ingested_at: Column | None = None) -> DataFrame:
+    """Unified signals in the types they are stored in: times on the wire are seconds since the epoch, stored ones are timestamps;
+    what no step has filled yet is null."""
+    times = {"published_at": F.timestamp_seconds("published_at"), "ingested_at": ingested_at if ingested_at is not None else F.lit(None)}
+    given = signals.withColumns({c: v for c, v in times.items() if c == "published_at" or c not in signals.columns})
+    fields = [f.strip().split(" ", 1) for f in re.split(r",(?![^<]*>)", SIGNAL)]
+    return given.select(*[(F.col(n) if n in given.columns else F.lit(None)).cast(kind).alias(n) for n, kind in fields])

@@ -25,13 +25,31 @@ def read_files(spark: SparkSession, path: str, schema: StructType, form: str = "
     return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).load(path)
 
 
-def read_kafka(spark: SparkSession, servers: str, topics: list[str], offsets_a_batch: int | None = None) -> DataFrame:
-    """Values of the topics from the earliest offset, as text (needs the connector's package on the cluster)."""
+def read_kafka(spark: SparkSession, servers: str, topics: list[str], offsets_a_batch: int | None = 50) -> DataFrame:
+    """Values of the topics from the earliest offset, as text, for ``records_of`` (needs the connector's package on the cluster)."""
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).option("startingOffsets", "earliest")
     reader = reader.option("maxOffsetsPerTrigger", offsets_a_batch) if offsets_a_batch else reader
     return reader.load().select("topic", F.col("value").cast("string").alias("value"), "timestamp")
 
 
+#: What the wire gives a batch: at most this many rows, every so many seconds.
+ROWS_A_BATCH, SECONDS_A_BATCH = 50, 2.0
+
+
+def records_of(messages: DataFrame, schemas: dict[str, str], topic: str = "topic", value: str = "value") -> DataFrame:
+    """``messages`` with the record of their topic's schema in a column of the topic's name (dots as underscores), null in the
+    others: one pass over the wire, whatever the topics. Text that is no record leaves its column null; messages of no listed topic
+    are left out."""
+    parsed = {t.replace(".", "_"): F.when(F.col(topic) == t, F.from_json(F.col(value), schema)) for t, schema in schemas.items()}
+    return messages.where(F.col(topic).isin(list(schemas))).withColumns(parsed)
+
+
+def run_every(work: Carried, place: str, seconds: float = SECONDS_A_BATCH):
+    """The stream's query, a batch every ``seconds`` until it is stopped; started again, it goes on after its last batch."""
+    writer = work.stream.writeStream.option("checkpointLocation", f"{place}/stream").trigger(processingTime=f"{int(seconds * 1000)} milliseconds")
+    return writer.foreachBatch(batches(work, place)).start()
+
+
 def topic_windows(rows: DataFrame, late: str = "2 hours", minutes: int = 15, at: str = "captured_at") -> DataFrame:
     """Tumbling buckets per topic and platform; rows later than ``late`` are left to a batch backfill."""
     felt = F.when(F.col("sentiment_compound") != 0, F.col("sentiment_compound"))
