@@ -48,6 +48,12 @@ def test_compiled_maps_replace_the_longest_key(rule, squeeze):
         assert normal == want and (not want or source.tolist() == [ends[i] for i in at]), text
 
 
+def test_units_are_crossed_by_no_piece():
+    words = ["▁the", "a", "b", "².", "1", "ab", "'s", "▁("]
+    assert pieces.unit_pattern(words).findall("▁▁the².x's▁(ab)\n1") == ["▁▁the", "².", "x", "'s", "▁(", "ab", ")", "\n", "1"]
+    assert pieces.unit_pattern(["a▁b"]) is None
+
+
 @pytest.mark.parametrize("unit", ["a" * 700, "ab" * 400, "the" * 300, "".join(random.Random(4).choice("aeinrst漢") for _ in range(900))])
 def test_windows_change_nothing(model, unit):
     whole = model.merged(unit)

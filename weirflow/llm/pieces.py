@@ -25,7 +25,7 @@ from __future__ import annotations
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import compress
 
@@ -39,7 +39,7 @@ from weirflow.llm.common import held, slices, text_of
 
 MARK = "▁"
 #: Entries of a worker's table of units (some 250 bytes each) and the longest unit kept there.
-CACHE_UNITS, CACHED_CHARS = 400_000, 48
+CACHE_UNITS, CACHED_CHARS = 600_000, 48
 #: Characters of a unit that are merged at once, and how far from its end a window may be closed.
 WINDOW, MARGIN = 65_536, 256
 
@@ -141,54 +141,28 @@ def widths(text: str) -> np.ndarray:
     return (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)).astype("uint8")
 
 
-class Model:
-    """What encoding and decoding need of a model file."""
+def unit_pattern(vocabulary: Iterable[str]) -> re.Pattern | None:
+    """Units that no piece crosses: marks stay with what follows, line feeds stand alone, letters are apart from what is none.
+    A letter that some piece joins to another character counts as none. None where a piece has a mark or line feed inside."""
+    pieces = list(vocabulary)
+    if any(map(re.compile(f"[^{MARK}]{MARK}|.\n|\n.", re.DOTALL).search, pieces)):
+        return None
+    joined: set[str] = set()
+    while True:
+        but = "".join(map(re.escape, sorted(joined)))
+        letter, other = rf"[^\W\d_{but}]", rf"[\W\d_{but}]"
+        inside = re.compile(rf"({letter})(?={other})|(?<={other})(?<!{MARK})({letter})")
+        found = {a or b for piece in pieces for a, b in inside.findall(piece)}
+        if not found:
+            return re.compile(rf"{MARK}*{letter}+|{MARK}+(?:(?!{letter})[^{MARK}\n])*|(?:(?!{letter})[^{MARK}\n])+|\n")
+        joined |= found
 
-    def __init__(self, path: str):
-        import sentencepiece
 
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        of = self.library
-        spec = dict(f for k, v in fields(of.serialized_model_proto()) if k == 3 for f in fields(v))
-        self.map = CharacterMap(spec.get(2, b""))
-        self.prefix, self.squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
-        if not spec.get(5, 1):
-            raise ValueError("models that keep spaces as they are, are not supported")
-        plain = [i for i in range(of.get_piece_size()) if not (of.is_control(i) or of.is_unknown(i) or of.is_byte(i))]
-        self.ids = {of.id_to_piece(i): i for i in plain}
-        self.score = {p: of.get_score(i) for p, i in self.ids.items()}
-        self.byte_ids = [of.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        if not of.is_byte(self.byte_ids[0]):
-            raise ValueError("a model without byte pieces is not supported")
-        crossing = re.compile(f"[^{MARK}]{MARK}|.\n|\n.", re.DOTALL)
-        self.unit = None if any(map(crossing.search, self.ids)) else re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-        self.table: dict[str, tuple[bytes, bytes]] = {}
+class Merging:
+    """Byte-pair merging of units by the scores of pieces."""
 
-    def normalise(self, text: str) -> tuple[str, np.ndarray]:
-        """The normalised text and the source byte of each of its characters, with the end behind the last."""
-        parts, sources, at = [], [], 0
-        for normal, size, replaced in self.map.replaced(text):
-            if replaced:
-                sources.append(np.full(len(normal), at))
-                at += size
-            else:
-                ends = np.cumsum(widths(normal), dtype="int64") + at
-                sources.append(np.concatenate([[at], ends[:-1]]))
-                at = int(ends[-1])
-            parts.append(normal)
-        normal = "".join(parts)
-        source = np.concatenate([*sources, [at]])
-        if self.squeeze:
-            letters = np.frombuffer(normal.encode("utf-32-le"), dtype="<u4") != 0x20
-            kept = letters | np.concatenate([[False], letters[:-1]])  # a space counts behind a character that is none
-            normal, source = "".join(compress(normal, kept)), source[np.append(kept, True)]
-        if not normal:
-            return "", source[-1:]
-        if self.prefix:
-            normal, source = " " + normal, np.concatenate([source[:1], source])
-        normal = normal.replace(" ", MARK)
-        length = len(normal.rstrip(MARK)) if self.squeeze else len(normal)
-        return normal[:length], source[: length + 1]
+    def __init__(self, score: dict[str, float]):
+        self.score = score
 
     def merged(self, unit: str) -> list[str]:
         """Pieces of a unit by byte-pair merging: the best pair of a short list, or a heap of pairs and linked symbols."""
@@ -256,6 +230,55 @@ class Model:
         following = self.merged(unit[at : at + size])[0]
         return self.merged(piece + following) == [piece, following]
 
+
+class Model(Merging):
+    """What encoding and decoding need of a model file."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        of = self.library
+        spec = dict(f for k, v in fields(of.serialized_model_proto()) if k == 3 for f in fields(v))
+        self.map = CharacterMap(spec.get(2, b""))
+        self.prefix, self.squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
+        if not spec.get(5, 1):
+            raise ValueError("models that keep spaces as they are, are not supported")
+        plain = [i for i in range(of.get_piece_size()) if not (of.is_control(i) or of.is_unknown(i) or of.is_byte(i))]
+        self.ids = {of.id_to_piece(i): i for i in plain}
+        super().__init__({p: of.get_score(i) for p, i in self.ids.items()})
+        self.byte_ids = [of.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        if not of.is_byte(self.byte_ids[0]):
+            raise ValueError("a model without byte pieces is not supported")
+        self.unit = unit_pattern(self.ids)
+        self.table: dict[str, tuple[bytes, bytes]] = {}
+
+    def normalise(self, text: str) -> tuple[str, np.ndarray]:
+        """The normalised text and the source byte of each of its characters, with the end behind the last."""
+        parts, sources, at = [], [], 0
+        for normal, size, replaced in self.map.replaced(text):
+            if replaced:
+                sources.append(np.full(len(normal), at))
+                at += size
+            else:
+                ends = np.cumsum(widths(normal), dtype="int64") + at
+                sources.append(np.concatenate([[at], ends[:-1]]))
+                at = int(ends[-1])
+            parts.append(normal)
+        normal = "".join(parts)
+        source = np.concatenate([*sources, [at]])
+        if self.squeeze:
+            letters = np.frombuffer(normal.encode("utf-32-le"), dtype="<u4") != 0x20
+            kept = letters | np.concatenate([[False], letters[:-1]])  # a space counts behind a character that is none
+            normal, source = "".join(compress(normal, kept)), source[np.append(kept, True)]
+        if not normal:
+            return "", source[-1:]
+        if self.prefix:
+            normal, source = " " + normal, np.concatenate([source[:1], source])
+        normal = normal.replace(" ", MARK)
+        length = len(normal.rstrip(MARK)) if self.squeeze else len(normal)
+        return normal[:length], source[: length + 1]
+
     def encoded(self, unit: str) -> tuple[bytes, bytes]:
         """Ids and characters of a unit's pieces, as 32-bit integers."""
         hit = self.table.get(unit)
@@ -284,7 +307,7 @@ class Model:
         ids = np.frombuffer(b"".join([a for a, _ in found]), dtype="int32")
         ends = np.cumsum(np.frombuffer(b"".join([b for _, b in found]), dtype="int32"), dtype="int64")
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        return ids, source[starts], source[ends]
+        return ids, source[starts].astype("int32"), source[ends].astype("int32")
 
     def decode(self, ids: np.ndarray) -> str:
         return self.library.decode(ids.tolist()) if len(ids) else ""
@@ -299,7 +322,7 @@ def encode(docs: DataFrame, model_path: str, *, text: str = "text") -> DataFrame
     """(row, ids, starts, ends, decoded): ``row`` a struct of all columns but the text, the ids of its pieces, the byte spans of
     these in the text, and the text that the ids decode to."""
     rows = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("row"), text_of(text).alias("text"))
-    schema = StructType([rows.schema["row"], *StructType.fromDDL("ids array<int>, starts array<long>, ends array<long>, decoded string")])
+    schema = StructType([rows.schema["row"], *StructType.fromDDL("ids array<int>, starts array<int>, ends array<int>, decoded string")])
 
     def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
         offsets = np.cumsum([0, *map(len, values)]).astype("int32")
@@ -310,6 +333,6 @@ def encode(docs: DataFrame, model_path: str, *, text: str = "text") -> DataFrame
         for part in slices(batches, "text"):
             ids, starts, ends = zip(*[of.encode(t) for t in part.column("text").to_pylist()], strict=True)
             decoded = pa.array([of.decode(i) for i in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([part.column("row"), lists(ids, pa.int32()), lists(starts, pa.int64()), lists(ends, pa.int64()), decoded], ["row", "ids", "starts", "ends", "decoded"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), lists(ids, pa.int32()), lists(starts, pa.int32()), lists(ends, pa.int32()), decoded], ["row", "ids", "starts", "ends", "decoded"])
 
     return rows.mapInArrow(work, schema)

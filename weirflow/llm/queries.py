@@ -98,8 +98,8 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.pieces import encode
 
     rows = encode(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("piece_bpe_32k.model"))
-    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
-    return rows.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.crc32(joined("ends")).alias("spans_crc32"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.xxhash64("starts", "ends").alias("spans_hash"))
 
 
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
