@@ -32,6 +32,18 @@ def test_whole_table_and_odd_rows(spark, sf_small, library):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), len(library.encode(text)), len(library.encode(text)) > 4096)
 
 
+def test_unbroken_texts_are_counted_in_windows(library):
+    draw = random.Random(5)
+    counts = UnitCounts(MODEL)
+    for unit in ("a" * 150_000, "x7Kq" * 40_000, "".join(draw.choice("aeinrst漢") for _ in range(140_000))):
+        assert counts.of(unit) == len(library.encode(unit))
+
+
+def test_columns_of_the_result_s_names_are_replaced(spark):
+    rows = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, n_tokens string")
+    assert with_token_counts(rows, MODEL).select("n_tokens").first()[0] == 2
+
+
 def test_empty_table_and_clashing_columns(spark):
     none = spark.createDataFrame([], "doc_id long, text string, n_tokens long")
     assert with_token_counts(none, MODEL).collect() == []

@@ -8,8 +8,9 @@ symbols minus the merges; no identifiers are made. Characters outside the vocabu
 Units repeat, so each Python worker keeps the counts of short ones in a table of bounded size. Documents are independent
 rows: the job is one scan without a shuffle, and a lost task is simply run again.
 
-Defined results: null and empty texts have 0 tokens and 0 bytes; repeated rows stay; other columns are not looked at, so
-extra columns cannot clash; an empty table gives an empty result; a text of any length is counted whole.
+Defined results: null and empty texts have 0 tokens and 0 bytes; repeated rows stay; other columns are carried, but those named
+n_bytes, n_tokens or over_limit are replaced; an empty table gives an empty result; a text of any length is counted whole: a unit
+beyond 65,536 characters is merged in windows that close where no merge can cross, so only a window's symbols are held.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirflow.llm.pieces import WINDOW, Merging
+
 #: Entries of a worker's table of unit counts (about 150 bytes each), and the longest unit kept there.
 CACHE_UNITS, CACHED_CHARS = 600_000, 48
 _UNIT = re.compile(" +[^ \n]*|[^ \n]+|\n")
@@ -75,7 +78,8 @@ class UnitCounts(dict):
         self.score = {model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size()) if not any(f(i) for f in special)}
 
     def __missing__(self, unit: str) -> int:
-        n = merge_count(unit.replace(" ", "▁"), self.score)
+        marked = unit.replace(" ", "▁")
+        n = merge_count(marked, self.score) if len(unit) <= WINDOW else sum(1 if p in self.score else len(p.encode()) for p in Merging(self.score).pieces(marked))
         if len(unit) <= CACHED_CHARS:
             if len(self) >= CACHE_UNITS:
                 self.clear()
