@@ -1,6 +1,7 @@
+import random
 import re
 
-from weirflow.llm.licenses import BASE, NOTICES, scan
+from weirflow.llm.licenses import BASE, NOTICES, SHORT, scan
 from weirflow.llm.queries import op10_licenses
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -56,6 +57,46 @@ def test_versions_and_families_are_told_apart(spark):
     ]
 
 
+def test_wanted_labels_of_near_notices(spark):
+    clause = "GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    wanted = {
+        "The program is not under the MIT License": {"mit"}, "Released under the MIT License.": {"mit", "mit-notice"}, "released under the (old) MIT license": {"mit", "mit-notice"},
+        "Mozilla Public License. In version 2 0 of the browser": {"mpl"}, "Mozilla Public License, version 2.0": {"mpl", "mpl-2.0"},
+        "GNU General Public License, version 2 or version 3": {"gpl", "gpl-2.0", "gpl-3.0"}, "GNU General Public License, version 3 and 2": {"gpl", "gpl-2.0", "gpl-3.0"},
+        "GNU General Public License v2 or v3": {"gpl", "gpl-2.0", "gpl-3.0"}, "GNU General Public License versions 2 and 3": {"gpl", "gpl-2.0", "gpl-3.0"},
+        "GNU General Public License version 2 or later. Version 3 of this program": {"gpl", "gpl-2.0"}, clause.format(3): {"gpl", "gpl-3.0"}, clause.format(2): {"gpl", "gpl-2.0"},
+        clause.format(3).replace("General", "Lesser General"): {"lgpl"}, "all the rights are reserved": set(), "Creative works under Commons rules": set(),
+    }
+    assert dict(zip(wanted, labels_of(spark, list(wanted)), strict=True)) == wanted
+
+
+def in_order(w, phrase):
+    """Whether all words of the phrase stand in ``w`` in order, with at most one other word in all between them, by plain search."""
+    t = phrase.split()
+    gaps = [t, *(t[:i] + [None] + t[i:] for i in range(2, len(t) - 1))]
+    return any(all(y is None or x == y for x, y in zip(w[i : i + len(g)], g, strict=True)) for g in gaps for i in range(len(w) - len(g) + 1))
+
+
+def test_short_notices_against_plain_search_in_shuffled_words(spark):
+    """Words of short notices drawn at random, most in order: a label that is no base label stands for a notice whose words are all
+    there, and a whole notice has its label."""
+    rng, texts = random.Random(3), []
+    short = [(p, label) for p, label, _ in NOTICES if len(p.split()) <= SHORT]
+    for _ in range(400):
+        w = rng.choice(short)[0].split() + rng.choice(short)[0].split()
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(w))
+            w[i : i + rng.randrange(2)] = [rng.choice(["of", "version", "3", "license", "x"])]
+        texts.append(" ".join(w))
+    base = {label for _, label in BASE}
+    for text, found in zip(texts, labels_of(spark, texts), strict=True):
+        w = text.split()
+        assert {label for p, label in short if f" {p} " in f" {text} "} <= found
+        for label in found - base:
+            assert any(set(p.split()) <= set(w) for p, name in short if name == label), (text, label)
+        assert not any(label in found and not any(in_order(w, p) for p, name in short if name == label) for label in found - base if len(w) <= 8), text
+
+
 def test_labels_hold_against_a_plain_search_for_whole_notices(spark, sf_dir):
     """Without the join: a text with all words of a notice in a row has its label; a label's own words stand near each other."""
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
