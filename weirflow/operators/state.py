@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,7 +70,49 @@ def kept(rows: DataFrame) -> DataFrame:
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(rows.sparkSession))
-    return rows.checkpoint()
+    return noted(rows.checkpoint())
+
+
+#: Folders of the checkpoints made so far inside the innermost ``passing`` of this thread.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+def noted(rows: DataFrame) -> DataFrame:
+    """``rows``, which were just checkpointed, noted where a ``passing`` will remove them."""
+    made = _made.get()
+    if made is not None:
+        folder = rows._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        made.extend([folder.get()] if folder.isDefined() else [])
+    return rows
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """The folder and all in it are gone, wherever it lies; one that is not there is no error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """Checkpoints that this thread makes inside are removed at the end, after a fault too. What is read later has to be written
+    or ``settled`` by then. Gives the list of their folders; other threads' checkpoints are not in it."""
+    made: list[str] = []
+    before = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(before)
+        for folder in made:
+            removed(spark, folder)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, kept, and nothing else: the checkpoints made on the way to it are removed, so a job of many steps leaves
+    one copy of each step's result and not all that the step wrote."""
+    with passing(spark) as made:
+        rows = kept(make())
+        made[:] = made[:-1]
+    return noted(rows)
 
 
 def write_history(rows: DataFrame, path: str) -> None:

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from weirflow.config import DEFAULTS, Thresholds
 from weirflow.operators import throttle
-from weirflow.operators.state import kept, merge_partitions, shared_folder
+from weirflow.operators.state import kept, merge_partitions, passing, removed, shared_folder
 from weirflow.operators.topics import exploded, merge_buckets, topic_buckets
 from weirflow.operators.windows import with_normalised_blocked
 
@@ -129,13 +129,16 @@ def batches(work: Carried, place: str) -> Callable[[DataFrame, int], None]:
         names = [r["name"] for r in spark.read.parquet(f"{before}/names").collect()] if existing(spark, f"{before}/names") else []
         rows = rows.persist()
         try:
-            sinks, state = work.step(rows, {n: spark.read.parquet(f"{before}/{n}") for n in names})
-            for name, table in sinks.items():
-                table.write.mode("overwrite").parquet(f"{place}/{name}/batch={number}")
-            for name, table in state.items():
-                table.write.mode("overwrite").parquet(f"{place}/state/batch={number}/{name}")
+            with passing(spark):  # all that a step gives is written before the batch ends
+                sinks, state = work.step(rows, {n: spark.read.parquet(f"{before}/{n}") for n in names})
+                for name, table in sinks.items():
+                    table.write.mode("overwrite").parquet(f"{place}/{name}/batch={number}")
+                for name, table in state.items():
+                    table.write.mode("overwrite").parquet(f"{place}/state/batch={number}/{name}")
             spark.createDataFrame([(n,) for n in state], "name string").coalesce(1).write.mode("overwrite").parquet(f"{place}/state/batch={number}/names")
             spark.createDataFrame([(n,) for n in sinks], "sink string").coalesce(1).write.mode("overwrite").parquet(f"{place}/manifest/batch={number}")
+            if number > 1:
+                removed(spark, f"{place}/state/batch={number - 2}")  # only the last batch can be run again
         finally:
             rows.unpersist()
 
@@ -271,11 +274,14 @@ def scratch(spark: SparkSession) -> str:
 
 def drain(stream: DataFrame | Carried, keys: list[str], mode: str = "update", partitions: int | None = None) -> DataFrame:
     """All that is there now, through the stream: each micro-batch's rows are written under its number, and the last row of a
-    key is its result. A batch run twice overwrites itself. Of a carried stream: the rows of its sink ``out``."""
+    key is its result. A batch run twice overwrites itself. Of a carried stream: the rows of its sink ``out``. What the stream needed
+    to go on is removed at its end; the rows stay."""
     if isinstance(stream, Carried):
         spark = stream.stream.sparkSession
         place = scratch(spark)
         carry(stream, place)
+        for done in ("stream", "state"):
+            removed(spark, f"{place}/{done}")
         return visible(spark, place, "out").drop("batch")
     spark = stream.sparkSession
     place = scratch(spark)
@@ -285,6 +291,7 @@ def drain(stream: DataFrame | Carried, keys: list[str], mode: str = "update", pa
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
+    removed(spark, f"{place}/state")
     rows = spark.read.schema(StructType([*stream.schema.fields, *StructType.fromDDL("batch long").fields])).parquet(f"{place}/out")
     if mode == "append":
         return rows.drop("batch")
