@@ -10,19 +10,22 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirflow.operators.state import noted
+
 #: ASCII white space: what separates words unless an operator says otherwise.
 SPACE = " \t\n\x0b\f\r"
 
 
 def reliable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder all executors share, so a lost executor costs nothing but a reread."""
+    """``df`` computed once and kept in the folder all executors share, so a lost executor costs nothing but a reread.
+    Inside ``operators.state.passing`` or ``settled`` it is removed at their end."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if shared is None and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    return noted(df.checkpoint())
 
 
 def text_of(column: str | Column) -> Column:
