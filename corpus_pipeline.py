@@ -41,8 +41,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles shared to 0.8 or more, every link verified. The row of
-    the least id stays, null ids last, then that of the least text hash; null and empty texts are one group; rows that share
+    """One document of each group of near duplicates: five-word shingles shared to 0.8 or more, every link verified. Candidates
+    are op4's components of fingerprints and, beyond their four bits, MinHash bands. The row of the least id stays, null ids last, then that of the least text hash; null and empty texts are one group; rows that share
     id and text are one."""
     bounded(spark)
     return keep_similar_one(docs, k=5, least=0.8)

@@ -1,8 +1,12 @@
-"""Near-duplicates by the exact Jaccard similarity of word-shingle sets; MinHash bands only find the candidates.
+"""Near-duplicates by SimHash fingerprints with pivot distance tables, and MinHash bands for what fingerprints can't reach; every
+link is verified by the exact Jaccard similarity of the word-shingle sets.
 
-Texts with equal sets are one class. A class has BANDS keys of BAND_ROWS min-hashes each; two classes that share a key are
-candidates and are linked only if their sets are verified to be shared to ``least`` or more. A pair shared to exactly 0.8 has
-no key in common with probability (1 - 0.8^4)^24, about 3 in a million, and fewer above.
+Texts with equal sets are one class. Its fingerprints (``simhash``: block keys, pivot tables inside the buckets, stars) fall into
+components of NEAR bits; a component is a key, so all pairs within NEAR bits are candidates, for certain. Sets shared to 0.8
+differ in 9.7 of 64 bits on average, and a radius that holds them leaves block keys of three bits; for pairs beyond NEAR bits
+a class has BANDS further keys of BAND_ROWS min-hashes each. Two classes that share a key of either kind are linked only if
+their sets are verified to be shared to ``least`` or more. A pair shared to exactly 0.8 has no band in common with probability
+(1 - 0.8^4)^24, about 3 in a million, and fewer above.
 
 At scale: shuffled are narrow rows (key, class). Keys with one class, and keys whose classes are those of another key, are
 dropped; only classes of the keys left have their sets made again from the text. A bucket is searched breadth first, so near
@@ -24,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import reliable, slices, text_of
-from weirflow.llm.simhash import BROADCAST_KEYS, components, digest, keep_rows, shingle_hashes
+from weirflow.llm.simhash import BROADCAST_KEYS, components, digest, keep_rows, majority, near_links, shingle_hashes
 
-BANDS, BAND_ROWS = 24, 4
+NEAR, BANDS, BAND_ROWS = 4, 24, 4
 #: Bytes of the sets in a bucket that one task searches.
 BUCKET = 32_000_000
 
@@ -57,22 +61,24 @@ def class_of(shingles: np.ndarray) -> int:
 
 
 def described(docs: DataFrame, k: int, id_col: str, text: str) -> DataFrame:
-    """_id, _digest, class, bytes (of its set) and keys of every row."""
+    """_id, _digest, class, bytes (of its set), fp (op4's fingerprint, of k-word shingles) and keys (bands) of every row."""
     # ids travel as text, whatever their type
     rows = docs.select(digest(text).alias("_digest"), F.col(id_col).cast("string").alias("_id"), text_of(text).alias("_text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text"):
-            classes, sizes, keys = [], [], [np.empty(0, np.int64)]
+            classes, sizes, prints, keys = [], [], [], [np.empty(0, np.int64)]
             for text in part.column("_text").to_pylist():
-                shingles = np.unique(shingle_hashes(text, k))
+                shingles = shingle_hashes(text, k)
+                prints.append(majority(shingles))
+                shingles = np.unique(shingles)
                 classes.append(class_of(shingles))
                 sizes.append(8 * len(shingles))
                 keys.append(band_keys(shingles))
             keyed = pa.ListArray.from_arrays(pa.array(np.arange(len(classes) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([part.column("_digest"), part.column("_id"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), keyed], names=["_digest", "_id", "class", "bytes", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("_digest"), part.column("_id"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), keyed], names=["_digest", "_id", "class", "bytes", "fp", "keys"])
 
-    made = rows.mapInArrow(of, "_digest long, _id string, class long, bytes long, keys array<long>")
+    made = rows.mapInArrow(of, "_digest long, _id string, class long, bytes long, fp long, keys array<long>")
     return made.withColumn("_id", F.col("_id").cast(docs.schema[id_col].dataType))
 
 
@@ -129,9 +135,17 @@ def search(buckets: DataFrame, least: float) -> DataFrame:
     return buckets.select("key", "class", "shingles").repartition("key").sortWithinPartitions("key").mapInArrow(searched, "a long, b long")
 
 
+def fingerprint_keys(rows: DataFrame, near: int = NEAR) -> DataFrame:
+    """class, bytes and key of ``rows`` (described): the component of fingerprints within ``near`` bits that holds a class."""
+    owned = reliable(rows.select("class", "bytes", "fp").distinct())
+    roots = components(near_links(reliable(owned.select("fp").distinct()), near))
+    return owned.join(roots, owned["fp"] == roots["node"], "left").select("class", "bytes", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"))
+
+
 def similar_links(docs: DataFrame, rows: DataFrame, k: int, least: float, text: str) -> DataFrame:
     """a, b: links that connect the classes of ``rows`` (described ``docs``) shared to ``least`` or more."""
-    keyed = reliable(rows.select("class", "bytes", F.explode("keys").alias("key")).distinct())
+    bands = rows.select("class", "bytes", F.explode("keys").alias("key"))
+    keyed = reliable(fingerprint_keys(rows).union(bands).distinct())
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("x"), F.min("class").alias("lo"), F.sum("bytes").alias("weight")).where("n > 1")
     chosen = buckets.groupBy("n", "x", "lo").agg(F.min(F.struct("key", "weight")).alias("c")).select("c.key", "c.weight")
     members = reliable(keyed.join(chosen, "key").select("key", "class", "weight"))
