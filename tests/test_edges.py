@@ -2,11 +2,13 @@
 
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from weirflow.functions import scoring, text
 from weirflow.operators import marts, ops, serving, state, topics, windows
+from weirflow.plans import catalogue
 from weirflow.sources import raw
 from weirflow.streaming import jobs
 
@@ -205,3 +207,17 @@ def test_entry_imports_and_names_match():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def twin_of_compare(spark, tmp_path, events):
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = catalogue.compare(spark, str(tmp_path))
+    return [tuple(got.select(*got.columns).first())], con.sql(f"SELECT {', '.join(got.columns)} FROM ({catalogue.ORACLE['compare']})").fetchall()
+
+
+@pytest.mark.parametrize("kept", ["event_type = 'click'", "false"])
+def test_compare_of_no_events_has_a_total_of_0(spark, sf_small, tmp_path, kept):
+    got, want = twin_of_compare(spark, tmp_path, spark.read.parquet(f"{sf_small}/events.parquet").where(kept))
+    assert got == want == [(0, None, None, None)]

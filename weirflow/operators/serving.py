@@ -159,7 +159,7 @@ def divergence_filter(events: DataFrame, now: Column, *, last_hours: float = 24,
 
 
 def compare_summary(events: DataFrame, top: int = 100) -> DataFrame:
-    """Total, mean and peak divergence of the top events, and the topic with most of them."""
+    """Total, mean and peak divergence of the top events, and the topic with most of them; of no events a total of 0."""
     best = events.orderBy(F.desc("divergence_score"), "topic", "platform_a", "platform_b").limit(top)
     per = best.groupBy("topic").agg(F.count("*").alias("n"), F.sum("divergence_score").alias("s"), F.max("divergence_score").alias("m"))
-    return per.agg(F.sum("n").alias("total_events"), F.round(F.sum("s") / F.sum("n"), 4).alias("avg_divergence"), F.max("m").alias("max_divergence"), F.min_by("topic", F.struct(-F.col("n"), "topic")).alias("hottest_topic"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("total_events"), F.round(F.sum("s") / F.sum("n"), 4).alias("avg_divergence"), F.max("m").alias("max_divergence"), F.min_by("topic", F.struct(-F.col("n"), "topic")).alias("hottest_topic"))

@@ -36,9 +36,9 @@ def as_observations(e: DataFrame) -> DataFrame:
 
 
 def as_of(spark: SparkSession, sf_dir: str):
-    """The last time in the log, as a literal: what windows of time end at."""
+    """The last time in the log, as a literal: what windows of time end at; null of an empty log."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return F.lit(table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0])
+    return F.lit(table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]).cast("timestamp")
 
 
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
