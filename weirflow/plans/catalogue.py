@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.functions import lexicon, scoring, text as words
+from weirflow.functions import lexicon, runs, scoring, text as words
 from weirflow.operators import base, marts, numbering, ops, serving, state, throttle, topics, windows
 from weirflow.plans import frames as f
 from weirflow.schemas import RAW, REDDIT
@@ -307,9 +307,10 @@ raised AS (SELECT doc_id, s + sign(s) * (least(x, 4) * 0.292::DOUBLE + CASE WHEN
 
 def run_terms(spark, d):
     """The documents' words, and pairs of words of a tenth of them, in lower case."""
-    docs = table(spark, d, "documents").select("doc_id", F.transform(lexicon.words_of(F.col("text")), F.lower).alias("w"))
-    pairs = docs.where("doc_id % 10 = 0").select(F.explode(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))).alias("term"))
-    return docs.select(F.explode("w").alias("term")).distinct(), pairs.distinct()
+    docs = table(spark, d, "documents")
+    few = docs.select("doc_id", F.transform(lexicon.words_of(F.col("text")), F.lower).alias("w"))
+    pairs = few.where("doc_id % 10 = 0").select(F.explode(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))).alias("term"))
+    return runs.forms(docs, F.col("text"), words.PUNCTUATION), pairs.distinct()
 
 
 @query("SELECT doc_id, round(s / sqrt(s * s + 15), 4) AS sentiment_compound FROM raised", RUNS, f"terms AS (SELECT * FROM (SELECT term, {KIND} AS kind, ({VALUE})::DOUBLE AS value FROM (FROM word UNION ALL (FROM pair WHERE length(term) % 5 = 0))) WHERE kind IS NOT NULL)", HITS, RULED)
@@ -317,7 +318,7 @@ def sentiment_lexicon(spark, d):
     """Sentiment by a lexicon of thousands of words and phrases, with boosters, negations, contrasts, capitals and marks."""
     word, pair = run_terms(spark, d)
     terms = word.unionByName(pair.where(F.length("term") % 5 == 0)).withColumns({"kind": F.expr(KIND), "value": F.expr(VALUE).cast("double")}).where("kind IS NOT NULL")
-    return lexicon.sentiment_by_table(table(spark, d, "documents"), "text", terms, ["doc_id"])
+    return lexicon.sentiment_by_table(table(spark, d, "documents"), "text", terms, ["doc_id"], longest=2)
 
 
 NOISE = "[" + ", ".join(f"'{w}'" for w in words.NOISE_TOPICS) + "]"
@@ -329,7 +330,7 @@ def entity_topics(spark, d):
     """Topics by a table of names of one and two words: the longest match, less noise."""
     word, pair = run_terms(spark, d)
     names = word.where(F.length("term") % 3 == 0).unionByName(pair.where(F.ascii("term") % 2 == 0)).withColumn("name", F.col("term"))
-    return lexicon.topics_by_table(table(spark, d, "documents"), "text", names, ["doc_id"]).withColumn("topics", F.array_join("topics", ","))
+    return lexicon.topics_by_table(table(spark, d, "documents"), "text", names, ["doc_id"], longest=2).withColumn("topics", F.array_join("topics", ","))
 
 
 # Topic intelligence.
