@@ -35,6 +35,14 @@ def test_runs_of_words_are_not_shuffled_as_rows(spark, monkeypatch):
     assert shuffled_rows(spark, lambda: lexicon.topics_by_table(rows, "t", names, ["id"]).collect()) < 20_000  # of 80,000 words, 159,600 runs
 
 
+def test_sentiment_does_not_shuffle_its_hits(spark, monkeypatch):
+    monkeypatch.setattr(lexicon, "BROADCAST_TERMS", 0)
+    rows = corpus(spark)
+    terms = rows.where("id < 100").select(F.explode(F.split("t", " ")).alias("term")).distinct().selectExpr("term", "'valence' AS kind", "1.5D AS value").cache()
+    assert rows.count() == 400 and terms.count() > 4000
+    assert shuffled_rows(spark, lambda: lexicon.sentiment_by_table(rows, "t", terms, ["id"]).collect()) < 20_000  # nearly each of 80,000 words is a hit
+
+
 @pytest.mark.parametrize("longest", [None, 3])
 def test_blocks_and_ranges_tell_what_one_table_tells(spark, monkeypatch, longest):
     rows = corpus(spark, 60, 50).unionByName(spark.createDataFrame([(100, None), (101, ""), (102, " \n"), (103, "W7 w8, ÉTÉ ... (w9)!"), (103, "W7 w8, ÉTÉ ... (w9)!")], "id long, t string"))
